@@ -5,20 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marginalia.llm import langid
+from marginalia.llm.avi import media_round_trip
+from marginalia.llm.bpe import encode_documents
 from marginalia.llm.dedup import near_duplicates
+from marginalia.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = _vocabulary("byte_bpe_50k.tiktoken")
+    return encode_documents(_table(spark, sf_dir, "documents"), path=path, pattern=pattern, keep=["doc_id"], ids=False)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(langid.learned(documents))
+    found = langid.identify(documents.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), path=_vocabulary("byte_bpe_50k.json")[0])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op5_avi_media": op5_avi_media,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_language_id": op9_language_id,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
