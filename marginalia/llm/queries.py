@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import langid
+from marginalia.llm.ann import nearest_neighbours
 from marginalia.llm.avi import media_round_trip
 from marginalia.llm.bpe import encode_documents
 from marginalia.llm.dedup import near_duplicates
@@ -28,6 +29,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_round_trip(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_inverted_multi_index": op2_inverted_multi_index,
     "op5_avi_media": op5_avi_media,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
