@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import langid
+from marginalia.llm import langid, warc
 from marginalia.llm.ann import nearest_neighbours
 from marginalia.llm.avi import media_round_trip
 from marginalia.llm.bpe import encode_documents
@@ -37,6 +37,10 @@ def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_captures(_table(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = _vocabulary("byte_bpe_50k.tiktoken")
     return encode_documents(_table(spark, sf_dir, "documents"), path=path, pattern=pattern, keep=["doc_id"], ids=False)
@@ -57,9 +61,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_inverted_multi_index": op2_inverted_multi_index,
     "op5_avi_media": op5_avi_media,
+    "op6_warc_captures": op6_warc_captures,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_captures": warc.ORACLE_SQL,
+}
