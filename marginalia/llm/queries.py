@@ -12,6 +12,7 @@ from marginalia.llm.ann import nearest_neighbours
 from marginalia.llm.avi import media_round_trip
 from marginalia.llm.bpe import encode_documents
 from marginalia.llm.dedup import near_duplicates
+from marginalia.llm.html_text import extract_main_text, fit_weights
 from marginalia.llm.token_counts import token_counts
 
 
@@ -41,6 +42,11 @@ def op6_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_captures(_table(spark, sf_dir, "pages"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return extract_main_text(pages, fit_weights(pages))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = _vocabulary("byte_bpe_50k.tiktoken")
     return encode_documents(_table(spark, sf_dir, "documents"), path=path, pattern=pattern, keep=["doc_id"], ids=False)
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_inverted_multi_index": op2_inverted_multi_index,
     "op5_avi_media": op5_avi_media,
     "op6_warc_captures": op6_warc_captures,
+    "op7_html_main_text": op7_html_main_text,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
