@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import langid, warc
+from marginalia.llm import langid, mixing, warc
 from marginalia.llm.ann import nearest_neighbours
 from marginalia.llm.avi import media_round_trip
 from marginalia.llm.bpe import encode_documents
@@ -34,6 +34,10 @@ def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_round_trip(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_inverted_multi_index": op2_inverted_multi_index,
+    "op3_source_mix": op3_source_mix,
     "op5_avi_media": op5_avi_media,
     "op6_warc_captures": op6_warc_captures,
     "op7_html_main_text": op7_html_main_text,
@@ -75,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_source_mix": mixing.ORACLE_SQL,
     "op6_warc_captures": warc.ORACLE_SQL,
 }
