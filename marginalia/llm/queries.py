@@ -13,6 +13,7 @@ from marginalia.llm.avi import media_round_trip
 from marginalia.llm.bpe import encode_documents
 from marginalia.llm.dedup import near_duplicates
 from marginalia.llm.html_text import extract_main_text, fit_weights
+from marginalia.llm.sharding import shard_documents
 from marginalia.llm.token_counts import token_counts
 
 
@@ -38,6 +39,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_round_trip(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_inverted_multi_index": op2_inverted_multi_index,
     "op3_source_mix": op3_source_mix,
+    "op4_balanced_shards": op4_balanced_shards,
     "op5_avi_media": op5_avi_media,
     "op6_warc_captures": op6_warc_captures,
     "op7_html_main_text": op7_html_main_text,
