@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
 from marginalia.cluster import ship
 from marginalia.llm.pieces import Ids, opening
@@ -119,7 +120,8 @@ def encode_documents(documents: DataFrame, *, path: str, pattern: str, text_colu
     ship(documents.sparkSession)
     made = ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * ids, *["token_spans"] * spans]
     keep = [c for c in (documents.columns if keep is None else keep) if c not in made and (keep is not None or c != text_column)]
-    kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "token_ids": "array<int>", "token_spans": "array<int>"}
+    integers = ArrayType(IntegerType())
+    kinds = {"n_tokens": LongType(), "ids_sha256": StringType(), "decoded_sha256": StringType(), "token_ids": integers, "token_spans": integers}
     chosen = documents.select(*(F.col(f"`{c}`") for c in keep), F.col(text_column).cast("string").alias("__text"))
     schema = chosen.drop("__text").schema
     for name in made:

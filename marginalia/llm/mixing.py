@@ -57,8 +57,8 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, shar
         (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("rest"),
     )
     weighed = weighed.withColumn("level", (F.col("all") - F.col("full")) / F.col("rest"))
-    # the level is that of the first source that it does not fill
-    level = F.min(F.when(F.col("level") <= F.col("bound") / F.col("weight"), F.col("level"))).over(everything)
+    # the level is that of the first source that it does not fill; those of later ones are smaller
+    level = F.max(F.when(F.col("level") <= F.col("bound") / F.col("weight"), F.col("level"))).over(everything)
     target = F.when(F.col("bound") / F.col("weight") <= level, F.col("bound")).otherwise(level * F.col("weight"))
     return weighed.select("source", "source_size", F.coalesce(target, "bound").alias("target"))
 
@@ -243,7 +243,7 @@ WITH d AS (
                  - coalesce(sum(weight) OVER (ORDER BY bound / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
     FROM b
 ), v AS (
-    SELECT min(level) AS level FROM l WHERE level <= bound / weight
+    SELECT max(level) AS level FROM l WHERE level <= bound / weight
 ), t AS (
     SELECT source, source_size, CASE WHEN bound / weight <= v.level THEN bound ELSE coalesce(v.level * weight, bound) END AS target FROM l, v
 ), k AS (
