@@ -1 +1,246 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Queries of the text, similarity, parsing and linkage operators, and their oracles.
+
+DuckDB has neither look-behind nor Java's flags, so some oracle patterns are written otherwise.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from marginalia.functions import similarity as S
+from marginalia.functions import text as T
+from marginalia.operators import linkage as L
+from marginalia.operators import names as N
+from marginalia.operators import reports as R
+from marginalia.plans.catalog import table
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _fold_sql(x: str, *, keep: str = "") -> str:
+    ascii_ = f"regexp_replace(lower(strip_accents({x})), '[^\\x00-\\x7F]', '', 'g')"
+    return f"trim(regexp_replace({ascii_}, '[^a-z0-9{keep}]+', ' ', 'g'))"
+
+
+def _title_sql(x: str) -> str:
+    # marks; the part before a separator; brackets; apostrophes; signs; year; novel; article
+    t = f"regexp_replace(regexp_replace({x}, '<<|>>', '', 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')"
+    t = f"split_part(regexp_replace({t}, '\\s+/{{1,2}}\\s+|\\s+;\\s+|\\s+=\\s+', chr(1), 'g'), chr(1), 1)"
+    t = f"regexp_replace(lower(strip_accents({t})), '[^\\x00-\\x7F]', '', 'g')"
+    t = f"regexp_replace({t}, '\\(.*?\\)|\\[.*?\\]', ' ', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '[''`]', '', 'g'), '[^a-z0-9 ]+', ' ', 'g')"
+    t = f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+    t = f"regexp_replace(regexp_replace({t}, '\\s+(19|20)[0-9]{{2}}$', ''), '\\s+(a )?novel$', '')"
+    return f"regexp_replace({t}, '^(the|a|an) ', '')"
+
+
+@query(f"SELECT doc_id, md5({_title_sql('text')}) AS key, md5({_fold_sql('text')}) AS folded FROM documents")
+def title_keys(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.title_key(F.col("text")).cast("binary")).alias("key"), F.md5(T.fold(F.col("text")).cast("binary")).alias("folded"))
+
+
+@query(f"SELECT p_partkey, {_title_sql('p_name')} AS key, {_fold_sql('p_name')} AS folded FROM part")
+def part_title_keys(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.title_key(F.col("p_name")).alias("key"), T.fold(F.col("p_name")).alias("folded"))
+
+
+@query("""SELECT page_id, try_cast(nullif(regexp_extract(url, '1[89][0-9]{2}|20[0-9]{2}'), '') AS INT) AS year, regexp_replace(url, ',?\\s*(19|20)[0-9]{2}\\s*$', '') AS without_year, regexp_replace(url, '[\\s,;:#]*[0-9]+\\s*$', '') AS without_number FROM pages""")
+def year_and_trailing_year(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", T.year_of(url).alias("year"), T.without_year(url).alias("without_year"), T.without_number(url).alias("without_number"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN split_part(c_name, '#', 1) || ' ' || split_part(c_name, '#', 2) ELSE split_part(c_name, '#', 2) || ' ' || split_part(c_name, '#', 1) END AS person,
+lower(split_part(c_name, '#', 1)) AS surname, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Harlequin' WHEN c_mktsegment = 'MACHINERY' THEN 'Cora' ELSE upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) END AS family FROM customer""")
+def person_names(spark, sf_dir):
+    head, tail = F.split_part("c_name", F.lit("#"), F.lit(1)), F.split_part("c_name", F.lit("#"), F.lit(2))
+    name = F.when(F.col("c_custkey") % 2 == 0, F.concat(tail, F.lit(", "), head)).otherwise(F.concat(head, F.lit(", "), tail))
+    house = F.when(F.col("c_mktsegment") == "BUILDING", "HARLEQUIN S.A.").when(F.col("c_mktsegment") == "MACHINERY", "Cora Verlag").otherwise(F.col("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.person(name).alias("person"), T.author_key(F.concat(head, F.lit(", "), tail)).alias("surname"), T.publisher_family(house).alias("family"))
+
+
+_WORDS = "list_distinct(list_filter(regexp_split_to_array({}, ' '), lambda w: length(w) >= 5))"
+
+
+def _names(spark, sf_dir) -> DataFrame:
+    words = F.explode(F.array_distinct(F.filter(F.split(T.fold(F.col("text")), " "), lambda w: F.length(w) >= 5)))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("book_id"), words.alias("name"))
+
+
+_NAMES_SQL = f"SELECT item_id AS book_id, unnest({_WORDS.format(_fold_sql('text'))}) AS name FROM benchmark"
+
+
+@query(f"WITH n AS ({_NAMES_SQL}) SELECT name, count(DISTINCT book_id) AS df, round(ln((SELECT count(DISTINCT book_id) FROM n) / count(DISTINCT book_id)), 9) AS idf FROM n GROUP BY 1 HAVING count(DISTINCT book_id) <= 300")
+def token_idf(spark, sf_dir):
+    return N.name_weights(_names(spark, sf_dir)).withColumn("idf", F.round("idf", 9))
+
+
+@query(f"""WITH n AS ({_NAMES_SQL}), w AS (SELECT name, ln((SELECT count(DISTINCT book_id) FROM n) / count(DISTINCT book_id)) AS idf FROM n GROUP BY 1 HAVING count(DISTINCT book_id) <= 300),
+t AS (SELECT doc_id AS segment, unnest({_WORDS.format(_fold_sql('text'))}) AS name FROM documents),
+s AS (SELECT segment, book_id, round(sum(idf), 9) AS score FROM t JOIN n USING (name) JOIN w USING (name) GROUP BY 1, 2),
+r AS (SELECT *, lead(score) OVER o AS next, row_number() OVER o AS k FROM s WINDOW o AS (PARTITION BY segment ORDER BY score DESC, book_id))
+SELECT segment, book_id, round(score, 6) AS score, round(score - coalesce(next, 0), 6) AS margin FROM r WHERE k = 1""")
+def name_overlap_link(spark, sf_dir):
+    tokens = F.array_distinct(F.filter(F.split(T.fold(F.col("text")), " "), lambda w: F.length(w) >= 5))
+    segments = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("segment"), F.lit("").alias("akey"), tokens.alias("tokens"))
+    authors = spark.createDataFrame([], "akey string, book_id long")
+    return N.predictions(segments, _names(spark, sf_dir), authors).select("segment", "book_id", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
+
+
+_SET = f"list_distinct(regexp_split_to_array({_fold_sql('text')}, ' '))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, source, n_chars // 40 AS cell, {_SET} AS w FROM documents)
+SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS similarity FROM d a JOIN d b ON a.lang = b.lang AND a.source = b.source AND a.cell = b.cell AND a.doc_id < b.doc_id
+WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.5""")
+def jaccard_pairs(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.floor(F.col("n_chars") / 40).alias("cell"), F.array_distinct(F.split(T.fold(F.col("text")), " ")).alias("w"))
+    a, b = rows.withColumnsRenamed({"doc_id": "a", "w": "wa"}), rows.withColumnsRenamed({"doc_id": "b", "w": "wb"})
+    pairs = a.join(b, ["lang", "source", "cell"]).filter("a < b").withColumn("similarity", S.jaccard(F.col("wa"), F.col("wb")))
+    return pairs.filter("similarity >= 0.5").select("a", "b", "similarity")
+
+
+_VARIANT = "{x}[1] = {y}[1] AND CASE WHEN starts_with({x}, {y}) OR starts_with({y}, {x}) THEN abs(length({x}) - length({y})) <= 2 ELSE abs(length({x}) - length({y})) <= 1 AND least(length({x}), length({y})) >= 5 AND levenshtein({x}, {y}) <= 1 END"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest({_WORDS.format(_fold_sql('text'))}) AS w FROM benchmark) SELECT a.w AS a, b.w AS b FROM w a JOIN w b ON a.w[1:2] = b.w[1:2] AND a.w < b.w WHERE {_VARIANT.format(x='a.w', y='b.w')}""")
+def variant_pairs(spark, sf_dir):
+    words = _names(spark, sf_dir).select("name").distinct().withColumn("letters", F.substring("name", 1, 2))
+    pairs = words.withColumnRenamed("name", "a").join(words.withColumnRenamed("name", "b"), "letters").filter("a < b")
+    return pairs.filter(S.spelling_variant(F.col("a"), F.col("b"))).select("a", "b")
+
+
+_KEPT = "list_filter(string_split({}, ' '), lambda w: NOT list_contains(['a','an','the','and','of','for','to','in','on','with','s'], w) AND NOT regexp_full_match(w, '[0-9]+') AND w <> '')"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_brand, p_size, {_title_sql('p_name')} AS k FROM part), q AS (SELECT *, {_KEPT.format('k')} AS w FROM p),
+j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.k AS ka, b.k AS kb, a.w AS wa, b.w AS wb, list_filter(a.w, lambda x: NOT list_contains(b.w, x)) AS ra, list_filter(b.w, lambda x: NOT list_contains(a.w, x)) AS rb
+      FROM q a JOIN q b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)
+SELECT a, b FROM j WHERE replace(ka, ' ', '') = replace(kb, ' ', '') OR (len(wa) > 0 AND len(wb) > 0 AND CASE WHEN len(ra) <> len(rb) THEN array_to_string(wa, '') = array_to_string(wb, '')
+    ELSE len(list_filter(ra, lambda x: len(list_filter(rb, lambda y: {_VARIANT.format(x='x', y='y')})) = 0)) = 0 END)""")
+def compatible_titles(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", T.title_key(F.col("p_name")).alias("k"))
+    pairs = rows.withColumnsRenamed({"p_partkey": "a", "k": "ka"}).join(rows.withColumnsRenamed({"p_partkey": "b", "k": "kb"}), ["p_brand", "p_size"]).filter("a < b")
+    return pairs.filter(S.compatible(F.col("ka"), F.col("kb"))).select("a", "b")
+
+
+@query("""WITH t AS (SELECT (length(text) - length(replace(text, '.', '')))::DOUBLE AS score, (length(text) - length(replace(text, ',', '')))::DOUBLE AS margin, quality AS correct FROM labels JOIN documents USING (doc_id)),
+g AS (SELECT s AS min_score, m AS min_margin FROM unnest([5.0, 8.0, 10.0, 15.0]) a(s), unnest([2.0, 3.0, 5.0, 8.0, 10.0]) b(m))
+SELECT min_score::DOUBLE AS min_score, min_margin::DOUBLE AS min_margin, count(*) FILTER (score >= min_score AND margin >= min_margin) AS n, coalesce(sum(correct) FILTER (score >= min_score AND margin >= min_margin), 0)::BIGINT AS correct,
+    count(*) FILTER (score >= min_score AND margin >= min_margin) / count(*) AS coverage, coalesce(sum(correct) FILTER (score >= min_score AND margin >= min_margin), 0) / nullif(count(*) FILTER (score >= min_score AND margin >= min_margin), 0) AS precision
+FROM t, g GROUP BY ALL""")
+def threshold_sweep(spark, sf_dir):
+    count = lambda c: (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double")
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    return N.sweep(rows.select(count(".").alias("score"), count(",").alias("margin"), F.col("quality").alias("correct")))
+
+
+@query(f"""WITH r AS (SELECT p_partkey, p_brand AS author, p_name AS original_title, p_type, {_fold_sql('p_brand')} AS a, {_title_sql('p_name')} AS t FROM part)
+SELECT arg_min(author, p_partkey) AS author, arg_min(original_title, p_partkey) AS original_title, string_agg(DISTINCT p_type, '' ORDER BY p_type) AS languages, count(*) AS n_editions FROM r WHERE t <> '' GROUP BY a, t""")
+def to_resolve_rollup(spark, sf_dir):
+    blank = F.lit("")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("position"), F.col("p_brand").alias("author"), F.col("p_name").alias("original_title"), F.col("p_type").alias("language_letter"), blank.alias("translated_title"), blank.alias("pub_year"), blank.alias("publisher"), blank.alias("reason"))
+    return L.originals_to_resolve(rows).select("author", "original_title", "languages", "n_editions")
+
+
+@query(f"""SELECT conv_id, turn, count(*) AS n, bool_or(contains({_fold_sql('text')}, {_fold_sql('role')})) AS named FROM conversations GROUP BY 1, 2""")
+def wrong_person_flag(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.bool_or(T.surname_in(F.col("role"), F.col("text"))).alias("named"))
+
+
+@query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html[^>]*lang="([a-z]+)"', 1) AS lang, len(regexp_extract_all(html, '<a [^>]*href='))::INT AS links, md5(regexp_extract(html, '<article>([^\\x00]*)</article>', 1)) AS article FROM pages""")
+def html_meta(spark, sf_dir):
+    html = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(html, '<html[^>]*lang="([a-z]+)"', 1).alias("lang"), F.regexp_count(html, F.lit("<a [^>]*href=")).alias("links"), F.md5(F.regexp_extract(html, r"<article>([^\x00]*)</article>", 1).cast("binary")).alias("article"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    from marginalia.cluster import ship
+    from marginalia.sources.html import visible_text
+
+    ship(spark)
+    return table(spark, sf_dir, "pages").select("page_id", "url", visible_text("html").alias("text"))
+
+
+@query()
+def html_rows(spark, sf_dir):
+    from marginalia.cluster import ship
+    from marginalia.sources.html import list_rows
+
+    ship(spark)
+    # each page as a list page of one book by the page's host
+    page = F.concat(F.lit('<ul><li><a href="/book/'), F.col("page_id"), F.lit('">'), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit('</a> by <a href="/author/'), F.col("page_id") % 97, F.lit('">'), F.regexp_extract("url", "//([^/]+)/", 1), F.lit("</a> #"), F.col("page_id"), F.lit(" Mar 1999 4.25</li></ul>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(list_rows(page)).alias("r")).select("page_id", "r.*")
+
+
+@query()
+def marc_xml_rows(spark, sf_dir):
+    from marginalia.cluster import ship
+    from marginalia.sources import marc
+
+    ship(spark)
+    field = lambda tag, code, value: F.concat(F.lit(f'<m:datafield tag="{tag}" ind1=" " ind2="1"><m:subfield code="{code}">'), value, F.lit("</m:subfield></m:datafield>"))
+    number = F.col("p_partkey").cast("string")
+    xml = F.concat(F.lit('<x xmlns:m="http://www.loc.gov/MARC21/slim"><m:record><m:leader>00000nam a2200000</m:leader><m:controlfield tag="001">'), number, F.lit("</m:controlfield>"), field("100", "a", F.col("p_brand")), field("245", "a", F.concat(F.lit("Der Roman "), number)), field("240", "a", F.col("p_name")), field("264", "c", F.concat(F.lit("[19"), (F.col("p_size") + 40).cast("string"), F.lit("]"))), F.lit("</m:record></x>"))
+    records = marc.records_of_xml(table(spark, sf_dir, "part").select("p_partkey", xml.alias("xml")))
+    out = marc.editions_of_marc21(records, "DNB").withColumn("author", marc.author_of(F.col("record")))
+    return out.select("p_partkey", "record_id", "author", "translated_title", F.array_join("original_titles", " | ").alias("original_titles"), "pub_year")
+
+
+def _books(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("book_id"), F.concat(F.col("p_name"), F.lit(" "), T.letters(F.col("p_partkey") % 700)).alias("title"), F.col("p_brand").alias("authors"), F.lit("1990").alias("pub_date"), F.col("p_partkey").alias("position"))
+    return rows
+
+
+def _foreign(spark, sf_dir) -> DataFrame:
+    title = F.concat(F.lit("The "), F.col("p_name"), F.lit(" "), T.letters(F.col("p_partkey") % 700), F.when(F.col("p_partkey") % 3 == 0, F.lit("s, 1999")).otherwise(F.lit(" / by someone")))
+    year = (1991 + F.col("p_size") % 20).cast("string")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("record"), F.col("p_partkey").alias("position"), F.array(F.upper("p_brand")).alias("authors"), F.when(F.col("p_partkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(title)).alias("original_titles"),
+        F.lit("G").alias("language_letter"), year.alias("pub_year"), F.lit("").alias("isbn"), F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("source_record_id"), F.lit("Cora").alias("publisher"), F.lit("").alias("series"),
+    )
+
+
+@query()
+def link_editions(spark, sf_dir):
+    from marginalia.cluster import ship
+
+    ship(spark)
+    return L.link_editions(_foreign(spark, sf_dir), _books(spark, sf_dir))["links"].select("record", "book_id", "score", "translation_id")
+
+
+@query()
+def review_suggestions(spark, sf_dir):
+    from marginalia.cluster import ship
+
+    ship(spark)
+    books = _books(spark, sf_dir)
+    unmatched = L.link_editions(_foreign(spark, sf_dir), books)["unmatched"]
+    return L.suggestions(unmatched, L.title_index(books)).select("record", "suggested_book_id", "candidate_score", "confidence", "candidates_for_this_record", "years_after_original")
+
+
+@query("""WITH v AS (SELECT n_chars AS v, quality FROM documents JOIN labels USING (doc_id)), r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS k FROM v)
+SELECT sum(quality)::DOUBLE AS n1, sum(1 - quality)::DOUBLE AS n2, sum(k) FILTER (quality = 1) - sum(quality) * (sum(quality) + 1) / 2 AS u FROM r""")
+def rank_sum(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return R.rank_sum(rows, "n_chars", F.col("quality") == 1).select("n1", "n2", "u")
+
+
+@query("""SELECT source, lang, n, share FROM (SELECT source, lang, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY source) AS share, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS k FROM documents GROUP BY 1, 2) WHERE k <= 2""")
+def top_languages_per_source(spark, sf_dir):
+    per = R.counts(table(spark, sf_dir, "documents"), "source", "lang")
+    whole = Window.partitionBy("source")
+    return per.withColumn("share", F.col("n") / F.sum("n").over(whole)).withColumn("k", F.row_number().over(whole.orderBy(F.desc("n"), "lang"))).filter("k <= 2").drop("k")
