@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from marginalia.cluster import ship
 
-SYMBOLS, ORDER = 64, 3
+SYMBOLS = 48
 #: The bound of the labelled sample: rows for each language, and characters of a row that is taken at all.
 ROWS_PER_LANGUAGE, LONGEST_ROW = 1500, 200_000
 UNDETERMINED = "und"
@@ -45,7 +45,7 @@ def _symbols_of(counts: np.ndarray) -> np.ndarray:
 def _grams(symbols: np.ndarray) -> np.ndarray:
     """For each position: the symbol and the three before it, as one number. The first three must be padding."""
     s = symbols.astype(np.int32)
-    return ((s[:-3] << 18) | (s[1:-2] << 12) | (s[2:-1] << 6)) | s[3:]
+    return ((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:]
 
 
 class Model:
@@ -70,8 +70,9 @@ class Model:
                 with np.errstate(divide="ignore", invalid="ignore"):
                     escape = np.where(n > 0, -np.log2(t / (n + t)), 0).astype(np.float32)
                     known = -np.log2(level / (n + t))
-                shorter = np.tile(cost, (len(level) // len(cost), 1))
-                cost = np.where(level > 0, known, escape + shorter).astype(np.float32)
+                cost = np.tile(cost, (len(level) // len(cost), 1))
+                cost += escape
+                np.copyto(cost, known, where=level > 0)
             out[row] = np.minimum(np.round(cost.reshape(-1) * _SCALE), 65535).astype(np.uint16)
         return out
 
@@ -104,9 +105,15 @@ def fit(labelled: DataFrame, *, text_column: str = "text", label_column: str = "
     spark = labelled.sparkSession
     ship(spark)
     text, lang = F.col(text_column).cast("string"), F.col(label_column).cast("string")
-    usable = labelled.select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.col(key_column), text).alias("h")).filter("lang IS NOT NULL AND length(text) BETWEEN 1 AND {}".format(LONGEST_ROW))
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    sample = usable.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= rows_per_language).select("lang", "text").repartition(spark.sparkContext.defaultParallelism).persist()
+    usable = labelled.select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.col(key_column), text).alias("h")).filter(f"lang IS NOT NULL AND length(text) BETWEEN 1 AND {LONGEST_ROW}")
+    # one number for each language; then a little more than is needed by the hash alone, so that no text is moved for nothing
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return Model([], _symbols_of(np.zeros(256, np.int64)), {})
+    below = F.create_map(*(F.lit(x) for name, n in sizes.items() for x in (name, int(min(1.0, (rows_per_language + 5 * rows_per_language**0.5) / n) * 2**60))))
+    some = usable.filter(F.shiftrightunsigned("h", 4) <= below[F.col("lang")])
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 4), "text")
+    sample = some.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= rows_per_language).select("lang", "text").repartition(spark.sparkContext.defaultParallelism).persist()
     try:
         found = sample.mapInArrow(_byte_counts, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
         counts = np.zeros(256, np.int64)
