@@ -147,7 +147,7 @@ def author_key(name: Column) -> Column:
 
 def translator_list(s: Column) -> Column:
     """Names between semicolons or "und", each turned round, joined again."""
-    return F.array_join(F.filter(F.transform(F.split(text_or_empty(s), r";|\s+und\s+"), person), lambda x: x != ""), "; ")
+    return F.array_join(F.filter(F.transform(F.split(text_or_empty(s), r";|\s+und\s+"), lambda x: person(x)), lambda x: x != ""), "; ")
 
 
 def plausibly_english(t: Column) -> Column:

@@ -186,7 +186,7 @@ def html_rows(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(list_rows(page)).alias("r")).select("page_id", "r.*")
 
 
-@query()
+@query("""SELECT p_partkey, p_partkey::VARCHAR AS record_id, p_brand AS author, 'Der Roman ' || p_partkey AS translated_title, p_name AS original_titles, '19' || (p_size + 40) AS pub_year FROM part""")
 def marc_xml_rows(spark, sf_dir):
     from marginalia.cluster import ship
     from marginalia.sources import marc
