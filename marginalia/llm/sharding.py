@@ -119,5 +119,5 @@ def shard_documents(documents: DataFrame, *, id_column: str = "doc_id", text_col
     filled = row_order(single, [], ["row"], _bits(F.xxhash64(F.lit("fill"), "row")), total=sum(rest))
     placed = state.select("row", "shard").unionByName(filled.select("row", _interval(F.col("rank"), rest).cast("int").alias("shard")))
     located = rows.join(placed, "row").select("doc_id", "size", "text_crc32", "row", "group", "shard")
-    slotted = row_order(located, ["shard"], ["group", "doc_id", "row"], _bits(F.xxhash64(F.coalesce("group", "row"))), total=total)
+    slotted = row_order(located, ["shard"], ["group", "doc_id", "row"], _bits(F.when(F.col("group").isNotNull(), F.xxhash64("group")).otherwise(F.xxhash64("row"))), total=total)
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
