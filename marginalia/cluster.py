@@ -9,12 +9,14 @@ executor, only the tasks since the last table run again.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import io
 import math
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -87,6 +89,23 @@ class Scratch:
             pass
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, *, rows: int = 1000, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of at most so many rows and bytes for what runs inside: texts and arrays can be long."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key, None) for key in wanted}  # None where the session does not set it
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def row_order(frame: DataFrame, within: list[str], order: list[str], bits: Column, *, sums: dict[str, str] | None = None, total: int | None = None, per_task: int = 200_000) -> DataFrame:
     """Rank every row inside its group without gathering a group in one task.
 
