@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.cluster import Scratch, ship
+from marginalia.cluster import Scratch, ship, small_batches
 from marginalia.llm.shingles import shingle_rows
 
 #: b-bit positions in a signature, and the chunks among the first of them.
@@ -201,15 +201,17 @@ def _confirm(percent: int):
             shared = np.zeros((len(ids), len(ids)), np.float32)
             order = np.argsort(code, kind="stable")
             owner, code = owner[order], np.unique(code[order], return_inverse=True)[1]
-            step = max(1, 8_000_000 // max(1, len(ids)))
+            step = max(1, 2_000_000 // max(1, len(ids)))
             for low in range(0, int(code[-1]) + 1 if len(code) else 0, step):
                 part = slice(*np.searchsorted(code, [low, low + step]))
                 matrix = np.zeros((len(ids), step), np.float32)
                 matrix[owner[part], code[part] - low] = 1
                 shared += matrix @ matrix.T
-            shared = shared.astype(np.int64)
-            good = shared * 100 >= (sizes[:, None] + sizes[None] - shared) * percent
-            a, b = np.nonzero(np.triu(good & (comps[:, None] != comps[None]), 1))
+            pairs = []
+            for i in range(len(ids) - 1):
+                both = shared[i, i + 1 :].astype(np.int64)  # exact: float32 holds integers to 2**24
+                good = (both * 100 >= (sizes[i] + sizes[i + 1 :] - both) * percent) & (comps[i + 1 :] != comps[i])
+                pairs += [(i, i + 1 + j) for j in np.flatnonzero(good).tolist()]
             root = {int(c): int(c) for c in comps}
 
             def find(x: int) -> int:
@@ -218,7 +220,7 @@ def _confirm(percent: int):
                 return x
 
             out = []
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            for x, y in pairs:
                 p, q = find(int(comps[x])), find(int(comps[y]))
                 if p != q:
                     root[max(p, q)] = min(p, q)
@@ -241,7 +243,11 @@ def near_duplicates(documents: DataFrame, *, id_column: str = "doc_id", text_col
     """
     spark = documents.sparkSession
     ship(spark)
-    scratch = Scratch(spark, "near-duplicates")
+    with small_batches(spark):  # every step that runs Python ends in a written table here
+        return _near_duplicates(documents, id_column, text_column, shingle, percent, Scratch(spark, "near-duplicates"))
+
+
+def _near_duplicates(documents: DataFrame, id_column: str, text_column: str, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
     texts = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     signed = scratch.table(texts.mapInArrow(_signer(shingle), _SIGNED), "signed")
     chosen = texts.filter("id IS NOT NULL")

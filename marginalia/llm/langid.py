@@ -66,7 +66,7 @@ class Model:
                 levels.append(levels[-1].reshape(SYMBOLS, SYMBOLS**order, SYMBOLS).sum(0))
             cost = np.full((1, SYMBOLS), np.log2(SYMBOLS), np.float32)
             for level in reversed(levels):
-                n, t = level.sum(1, keepdims=True), (level > 0).sum(1, keepdims=True)
+                n, t = level.sum(1, keepdims=True), (level > 0).sum(1, keepdims=True, dtype=np.float32)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     escape = np.where(n > 0, -np.log2(t / (n + t)), 0).astype(np.float32)
                     known = -np.log2(level / (n + t))
@@ -190,7 +190,7 @@ def identify(documents: DataFrame, model: Model, *, text_column: str = "text", k
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
         table = _table(key, known) if known.languages else None
-        for batch in batches:
+        for batch in (whole.slice(start, 500) for whole in batches for start in range(0, whole.num_rows, 500)):
             texts = batch.column(len(keep)).to_pylist()
             langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             rows = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if table is not None else []
