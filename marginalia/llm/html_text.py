@@ -173,7 +173,11 @@ def fit_weights(pages: DataFrame, *, id_column: str = "page_id", html_column: st
     ship(pages.sparkSession)
     source = F.col(html_column).cast("string")
     sample = pages.select(source.alias("html"), F.xxhash64(F.col(id_column), source).alias("h")).filter(source.rlike("(?i)<(article|main)[\\s>]"))
-    found = sample.orderBy("h", "html").limit(labelled_pages).select("html").mapInArrow(_label, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
+    count = sample.count()
+    # a little more than is needed by the hash alone, so that the pages to be ordered do not grow with the table
+    below = int(min(1.0, (labelled_pages + 5 * labelled_pages**0.5) / max(1, count)) * 2**60)
+    some = sample.filter(F.shiftrightunsigned("h", 4) <= below)
+    found = some.orderBy(F.shiftrightunsigned("h", 4), "html").limit(labelled_pages).select("html").mapInArrow(_label, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
     weights = dict(DEFAULTS)
     for feature, a, b in found:
         odds = max(-4.0, min(4.0, math.log((a + 1) / (b + 1))))
