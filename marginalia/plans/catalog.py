@@ -123,9 +123,10 @@ def summary_per_group(spark, sf_dir):
     return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
 
 
-@query("""SELECT year(o_orderdate)::INT AS year, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS q3, count(o_totalprice) AS n FROM orders GROUP BY 1""")
+@query("""SELECT year(o_orderdate)::INT AS year, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.75), 4) AS q3, count(o_totalprice) AS n FROM orders GROUP BY 1""")
 def quartiles_by_year(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(*R.quartiles("o_totalprice"))
+    out = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(*R.quartiles("o_totalprice"))
+    return out.select("year", *(F.round(c, 4).alias(c) for c in ("q1", "median", "q3")), "n")
 
 
 @query("""SELECT p_brand, count(p_size) AS count, avg(p_size) AS mean, stddev_samp(p_size) AS std, min(p_size) AS min, quantile_cont(p_size, 0.25) AS q1, quantile_cont(p_size, 0.5) AS median, quantile_cont(p_size, 0.75) AS q3, max(p_size) AS max FROM part GROUP BY 1""")

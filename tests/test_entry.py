@@ -25,7 +25,7 @@ def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return None
     if isinstance(v, float):
-        return float(f"{v:.9g}")
+        return float(f"{v:.8g}")
     return int(v) if isinstance(v, (int, bool)) else str(v)
 
 
