@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
-from marginalia.cluster import ship
+from marginalia.cluster import ship, then_give_back
 from marginalia.llm.pieces import Ids, opening
 
 
@@ -96,7 +96,7 @@ def loaded(path: str, pattern: str) -> ByteBpe:
         return _LOADED[path, pattern]
 
 
-_RUN = 4 << 20
+_RUN = 2 << 20
 
 
 def runs(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
@@ -144,5 +144,6 @@ def encode_documents(documents: DataFrame, *, path: str, pattern: str, text_colu
                     columns["token_spans"] = pa.array([[0, *np.cumsum(coder.lengths[np.frombuffer(x, "<u4")]).tolist()] for x in found], pa.list_(pa.int32()))
                 part = batch.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns.values()], [*keep, *columns])
+        coder.memory.known = {}  # the worker may wait beside other stages
 
-    return chosen.mapInArrow(encode, schema)
+    return chosen.mapInArrow(then_give_back(encode), schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.cluster import Scratch, ship, small_batches
+from marginalia.cluster import Scratch, ship, small_batches, then_give_back
 from marginalia.llm.shingles import shingle_rows
 
 #: b-bit positions in a signature, and the chunks among the first of them.
@@ -88,7 +88,7 @@ def _sets_of(texts: DataFrame, nodes: DataFrame, representatives: DataFrame, wor
     """(node, shingles) of some nodes, and perhaps a few more; ids are broadcast if their number has been checked to be small."""
     ids = representatives.join(nodes, "node", "left_semi").select("id").distinct()
     wanted = texts.join(F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-    return wanted.mapInArrow(_set_maker(words), "node long, shingles array<long>").dropDuplicates(["node"])
+    return wanted.mapInArrow(then_give_back(_set_maker(words)), "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def _chunk_keys() -> Column:
@@ -249,7 +249,7 @@ def near_duplicates(documents: DataFrame, *, id_column: str = "doc_id", text_col
 
 def _near_duplicates(documents: DataFrame, id_column: str, text_column: str, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
     texts = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    signed = scratch.table(texts.mapInArrow(_signer(shingle), _SIGNED), "signed")
+    signed = scratch.table(texts.mapInArrow(then_give_back(_signer(shingle)), _SIGNED), "signed")
     chosen = texts.filter("id IS NOT NULL")
     full = signed.filter("node IS NOT NULL AND id IS NOT NULL")
     smallest = full.groupBy("node").agg(F.min("id").alias("id"))
@@ -278,10 +278,10 @@ def _near_duplicates(documents: DataFrame, id_column: str, text_column: str, shi
     # A pair at the threshold differs in a share of 1 - J of the positions; 4.7 standard deviations more are let through.
     share = 1 - percent / 100
     most = int(POSITIONS * share + 4.7 * (POSITIONS * share * (1 - share)) ** 0.5)
-    possible = scratch.table(dealt.repartition("key_group").sortWithinPartitions("key_group").mapInArrow(_candidates(most), _CANDIDATE), "possible")
+    possible = scratch.table(dealt.repartition("key_group").sortWithinPartitions("key_group").mapInArrow(then_give_back(_candidates(most)), _CANDIDATE), "possible")
     more = _sets_of(chosen, possible.select("node").distinct(), representatives, shingle)
     grouped = possible.join(more, "node").select("key_group", "node", "component", "shingles").repartition("key_group").sortWithinPartitions("key_group")
-    links = scratch.table(star_links.unionByName(grouped.mapInArrow(_confirm(percent), "a long, b long")), "links")
+    links = scratch.table(star_links.unionByName(grouped.mapInArrow(then_give_back(_confirm(percent)), "a long, b long")), "links")
     scratch.drop("possible", "shared")
     classes = components(links, scratch, "rounds")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.cluster import ship
+from marginalia.cluster import ship, then_give_back
 
 SYMBOLS = 48
 #: The bound of the labelled sample: rows for each language, and characters of a row that is taken at all.
@@ -131,7 +131,7 @@ def fit(labelled: DataFrame, *, text_column: str = "text", label_column: str = "
                 yield pa.RecordBatch.from_arrays([pa.array([language] * len(values), pa.string()), pa.array(values.astype(np.int32)), pa.array(numbers.astype(np.int64))], ["lang", "gram", "n"])
 
         # At most SYMBOLS**4 numbers for a language, and no more than the sample has characters.
-        table = sample.mapInArrow(grams, _COUNTED).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+        table = sample.mapInArrow(then_give_back(grams), _COUNTED).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     finally:
         sample.unpersist()
     names = table.column("lang").combine_chunks().dictionary_encode()
@@ -201,7 +201,7 @@ def identify(documents: DataFrame, model: Model, *, text_column: str = "text", k
                 scores[i] = float(1 / np.exp2(np.maximum(own[b] - own, -1000)).sum())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return chosen.mapInArrow(predict, schema)
+    return chosen.mapInArrow(then_give_back(predict), schema)
 
 
 def held_out(key: Column) -> Column:
