@@ -36,11 +36,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates, the one with the smallest id; a repeated row stays once.
 
-    Documents without shingles belong to no group and stay.
+    Documents without shingles belong to no group and stay. Where one id has several texts, all stay if one of them does.
     """
     packed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"), F.struct("*").alias("row"))
     verdicts = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    stays = packed.join(verdicts, "_id", "left_semi").dropDuplicates(["_id"])
+    stays = packed.join(verdicts, "_id", "left_semi").dropDuplicates(["_id", "_text"])
     return stays.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
 
 
