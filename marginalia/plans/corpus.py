@@ -13,6 +13,7 @@ from marginalia.functions import text as T
 from marginalia.operators import linkage as L
 from marginalia.operators import names as N
 from marginalia.operators import reports as R
+from marginalia.operators.overlap import half_alike
 from marginalia.plans.catalog import table
 
 QUERIES: dict = {}
@@ -106,10 +107,8 @@ _SET = f"list_distinct(regexp_split_to_array({_fold_sql('text')}, ' '))"
 SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS similarity FROM d a JOIN d b ON a.lang = b.lang AND a.source = b.source AND a.cell = b.cell AND a.doc_id < b.doc_id
 WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.5""")
 def jaccard_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.floor(F.col("n_chars") / 40).alias("cell"), F.array_distinct(F.split(T.fold(F.col("text")), " ")).alias("w"))
-    a, b = rows.withColumnsRenamed({"doc_id": "a", "w": "wa"}), rows.withColumnsRenamed({"doc_id": "b", "w": "wb"})
-    pairs = a.join(b, ["lang", "source", "cell"]).filter("a < b").withColumn("similarity", S.jaccard(F.col("wa"), F.col("wb")))
-    return pairs.filter("similarity >= 0.5").select("a", "b", "similarity")
+    words = F.array_distinct(F.split(T.fold(F.col("text")), " "))
+    return half_alike(table(spark, sf_dir, "documents"), ["lang", "source"], words)
 
 
 _VARIANT = "{x}[1] = {y}[1] AND CASE WHEN starts_with({x}, {y}) OR starts_with({y}, {x}) THEN abs(length({x}) - length({y})) <= 2 ELSE abs(length({x}) - length({y})) <= 1 AND least(length({x}), length({y})) >= 5 AND levenshtein({x}, {y}) <= 1 END"
