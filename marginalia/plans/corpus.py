@@ -116,8 +116,8 @@ _VARIANT = "{x}[1] = {y}[1] AND CASE WHEN starts_with({x}, {y}) OR starts_with({
 
 @query(f"""WITH w AS (SELECT DISTINCT unnest({_WORDS.format(_fold_sql('text'))}) AS w FROM benchmark) SELECT a.w AS a, b.w AS b FROM w a JOIN w b ON a.w[1:2] = b.w[1:2] AND a.w < b.w WHERE {_VARIANT.format(x='a.w', y='b.w')}""")
 def variant_pairs(spark, sf_dir):
-    words = _names(spark, sf_dir).select("name").distinct().withColumn("letters", F.substring("name", 1, 2))
-    pairs = words.withColumnRenamed("name", "a").join(words.withColumnRenamed("name", "b"), "letters").filter("a < b")
+    words = _names(spark, sf_dir).select("name").distinct().withColumn("letter", F.substring("name", 1, 1))
+    pairs = words.withColumnRenamed("name", "a").join(words.withColumnRenamed("name", "b"), "letter").filter("a < b")
     return pairs.filter(S.spelling_variant(F.col("a"), F.col("b"))).select("a", "b")
 
 

@@ -30,3 +30,10 @@ def test_compatible_titles_of_a_brand_whatever_the_size(spark):
     rows = sorted(tuple(r) for r in spark.read.parquet(f"{DIR}/part.parquet").select("p_partkey", "p_brand", T.title_key(F.col("p_name"))).collect())
     want = [(a, b) for (a, x, ka), (b, y, kb) in itertools.combinations(rows, 2) if x == y and compatible(ka, kb)]
     assert pairs_of("compatible_titles", spark) == sorted(want) and len(want) >= 1239
+
+
+def test_variants_that_differ_at_the_second_letter(spark):
+    words = sorted(r["name"] for r in corpus._names(spark, DIR).select("name").distinct().collect())
+    want = [(a, b) for a, b in itertools.combinations(words, 2) if a[0] == b[0] and _variant(a, b)]
+    got = pairs_of("variant_pairs", spark)
+    assert got == sorted(want) and {("anble", "atble"), ("eaieau", "eeaieau")} <= set(got)
