@@ -7,9 +7,9 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import ann, avi, html_text, langid, sharding, token_counts, warc
+from marginalia.llm import ann, avi, html_text, sharding, token_counts, warc
 from marginalia.llm.bpe import ByteBpe, encode_documents, read_ranks
-from marginalia.llm.pieces import pieces
+from marginalia.llm.pieces import further, pieces
 
 DOCS = [(1, "Hello there, it's 12 o'clock.\n\nNew  line \t end "), (2, None), (3, ""), (4, "ünïcode 日本語 😀 text"), (5, "x" * 5000), (1, "again"), (None, "no id"), (7, "a <|endoftext|> b"), (8, "word " * 3000)]
 
@@ -180,7 +180,7 @@ def strange_texts(n):
 def test_ids_are_those_of_the_rank_file():
     import tiktoken
 
-    coder, reference = ByteBpe(RANKS, P.PATTERN), tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    coder, reference = ByteBpe.of(RANKS, P.PATTERN), tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
     texts = strange_texts(3000) + [t or "" for _, t in DOCS]
     for text, ids in zip(texts, coder.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(text) and coder.decode(ids) == text.encode()
@@ -214,58 +214,20 @@ def test_pieces_join_to_the_text():
         assert " ".join(pieces(text)) == text
 
 
-# language
-
-
-def plain_cost(text, counts):
-    """Bits by the definition: escape from context to shorter context, then 1 in SYMBOLS."""
-    total = 0.0
-    for i in range(3, len(text)):
-        bits = 0.0
-        for order in (3, 2, 1, 0):
-            seen = counts.get((order, tuple(text[i - order : i])))
-            if seen is None:
-                continue
-            n, t = sum(seen.values()), len(seen)
-            if text[i] in seen:
-                bits -= np.log2(seen[text[i]] / (n + t))
-                break
-            bits -= np.log2(t / (n + t))
-        else:
-            bits += np.log2(langid.SYMBOLS)
-        total += bits
-    return total
-
-
-def test_code_lengths_follow_the_definition():
-    rnd = random.Random(6)
-    train = ["".join(rnd.choices("abcde ", k=200)) for _ in range(5)]
-    symbol_of = langid._symbols_of(np.bincount(langid._FOLD[np.frombuffer("".join(train).encode(), np.uint8)], minlength=256))
-    grams, counts = [], {}
-    for t in train:
-        s = [0, 0, 0, *symbol_of[np.frombuffer(t.encode(), np.uint8)].tolist()]
-        grams.append(langid._grams(np.array(s, np.uint8)))
-        for i in range(3, len(s)):
-            for order in range(4):
-                counts.setdefault((order, tuple(s[i - order : i])), {}).setdefault(s[i], 0)
-                counts[order, tuple(s[i - order : i])][s[i]] += 1
-    values, numbers = np.unique(np.concatenate(grams), return_counts=True)
-    model = langid.Model(["x"], symbol_of, {"x": (values, numbers)})
-    texts = [b"abcab", b"ezzQ!", b"", b"a", b"bead cab " * 20]
-    got = langid.code_lengths(texts, model.costs(), symbol_of)[:, 0]
-    want = [plain_cost([0, 0, 0, *symbol_of[np.frombuffer(t, np.uint8)].tolist()], counts) for t in texts]
-    assert got == pytest.approx(want, abs=0.0005 * 200)
-
-
-def test_language_of_held_out_rows(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
-    model = langid.fit(langid.learned(docs))
-    found = langid.identify(docs.withColumn("score", F.lit("clash")), model)
-    assert found.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
-    right = found.filter(langid.held_out(F.col("doc_id"))).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
-    assert right >= 0.98
-    odd = langid.identify(spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !"), (4, "the")], "doc_id long, text string"), model).collect()
-    assert [(r["lang_pred"], r["score"]) for r in odd[:3]] == [("und", 0.0)] * 3 and 0 < odd[3]["score"] <= 1
-    nothing = langid.fit(docs.limit(0))
-    assert {r["lang_pred"] for r in langid.identify(docs.limit(3), nothing).collect()} == {"und"}
-    assert langid.identify(docs.limit(0), model).collect() == []
+def test_long_texts_are_cut_only_where_no_match_goes_on():
+    import tiktoken
+
+    coder, reference = ByteBpe.of(RANKS, P.PATTERN), tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("日本語文字，。！a1 ") if rnd.random() < 0.97 else rnd.choice("\n\t'") for _ in range(30_000)), "line of words\n" * 3000, "日本語。" * 9000, "x1" * 9000, "ab,c'd." * 5000, "  \n" * 5000 + "a", "字" * 6000]
+    for text in texts:
+        assert [text] == ["".join(further(text))] and np.frombuffer(coder.encode([text])[0], "<u4").tolist() == reference.encode_ordinary(text)
+    assert max(map(len, further(texts[0]))) < 8_192 and max(map(len, further(texts[2]))) < 8_192
+
+
+def test_pieces_that_no_token_opens_go_alone(spark):
+    coder = ByteBpe.of(RANKS, P.PATTERN)
+    want = coder.encode(["one two three", "four"])
+    other = ByteBpe.of(RANKS, P.PATTERN)
+    other.memory.opens = np.zeros_like(other.memory.opens)  # as if tokens did not begin with spaces
+    assert other.encode(["one two three", "four"]) == want
