@@ -12,7 +12,7 @@ import base64
 import hashlib
 import os
 import threading
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
 from marginalia.cluster import ship, then_give_back
-from marginalia.llm.pieces import Ids, opening
+from marginalia.llm.pieces import Ids, opening, runs
 
 
 @lru_cache(maxsize=1)
@@ -52,25 +52,38 @@ def _last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return parts[0], parts[1]
 
 
+def library_text(path: str, pattern: str) -> str:
+    """The tokenizers library's own form of a rank file and a split pattern, as JSON: built once, on the driver."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    ranks, table = read_ranks(path), byte_characters()
+    as_text = lambda token: "".join(table[b] for b in token)
+    merges = [tuple(map(as_text, _last_merge(t, ranks))) for t, _ in sorted(ranks.items(), key=lambda x: x[1]) if len(t) > 1]
+    library = Tokenizer(models.BPE(vocab={as_text(t): r for t, r in ranks.items()}, merges=merges))
+    library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return library.to_str()
+
+
 class ByteBpe:
-    """An encoder and decoder for a rank file and a split pattern."""
+    """An encoder and decoder over the library's form of a vocabulary."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
-
-        ranks, table = read_ranks(path), byte_characters()
-        as_text = lambda token: "".join(table[b] for b in token)
-        merges = [tuple(map(as_text, _last_merge(t, ranks))) for t, _ in sorted(ranks.items(), key=lambda x: x[1]) if len(t) > 1]
-        self.library = Tokenizer(models.BPE(vocab={as_text(t): r for t, r in ranks.items()}, merges=merges))
-        self.library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        back = {c: b for b, c in enumerate(table)}
-        self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for text, number in self.library.get_vocab().items():  # decoding reverses the byte table
-            self.bytes_of[number] = bytes(back[c] for c in text)
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(text)
+        back, vocabulary = {c: b for b, c in enumerate(byte_characters())}, self.library.get_vocab()
+        self.bytes_of: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
+        for token, number in vocabulary.items():  # decoding reverses the byte table
+            self.bytes_of[number] = bytes(back[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.memory = Ids(self.library, opening(self.library))
 
+    @classmethod
+    def of(cls, path: str, pattern: str) -> ByteBpe:
+        return cls(library_text(path, pattern))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         return [b"".join(parts) for parts in self.memory.of(texts)]
@@ -85,28 +98,16 @@ class ByteBpe:
 
 
 _LOCK = threading.Lock()
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
+_LOADED: dict[str, ByteBpe] = {}
 
 
-def loaded(path: str, pattern: str) -> ByteBpe:
-    """The encoder of this Python worker; building it takes about a second."""
+def loaded(key: str, text: Callable[[], str]) -> ByteBpe:
+    """The encoder of this Python worker; one at a time is kept."""
     with _LOCK:
-        if (path, pattern) not in _LOADED:
-            _LOADED[path, pattern] = ByteBpe(path, pattern)
-        return _LOADED[path, pattern]
-
-
-_RUN = 2 << 20
-
-
-def runs(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Texts in runs of about _RUN characters, with the place of the first."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= _RUN or i == len(texts) - 1:
-            yield start, [t or "" for t in texts[start : i + 1]]
-            start, size = i + 1, 0
+        if key not in _LOADED:
+            _LOADED.clear()
+            _LOADED[key] = ByteBpe(text())
+        return _LOADED[key]
 
 
 def encode_documents(documents: DataFrame, *, path: str, pattern: str, text_column: str = "text", keep: list[str] | None = None, ids: bool = True, spans: bool = False) -> DataFrame:
@@ -114,7 +115,7 @@ def encode_documents(documents: DataFrame, *, path: str, pattern: str, text_colu
     ``token_ids`` (array<int>) and ``token_spans`` (array of byte offsets, one more than tokens).
 
     Each text is encoded whole and decoded from its ids. A null text counts as empty: no ids, the digests of nothing.
-    Special strings are ordinary text. Rows, repeated ones too, stay as many as they are; an empty table stays empty.
+    Special strings are ordinary text. Long texts go through the library in safe pieces. Rows, repeated ones too, stay as many as they are; an empty table stays empty.
     Output columns replace columns of the input that have their names.
     """
     ship(documents.sparkSession)
@@ -127,10 +128,13 @@ def encode_documents(documents: DataFrame, *, path: str, pattern: str, text_colu
     for name in made:
         schema = schema.add(name, kinds[name])
 
+    held = documents.sparkSession.sparkContext.broadcast(library_text(path, pattern))  # as large as the vocabulary
+    key = f"{path} {pattern}"
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = loaded(path, pattern)
+        coder = loaded(key, lambda: held.value)
         for batch in batches:
-            for start, texts in runs(batch.column(len(keep)).to_pylist()):
+            for start, texts in runs(batch.column(len(keep))):
                 found = coder.encode(texts)
                 columns: dict[str, pa.Array] = {
                     "n_tokens": pa.array([len(x) // 4 for x in found], pa.int64()),

@@ -1,23 +1,42 @@
 """Safe pieces of texts, and a bounded memory of what a tokenizer makes of them.
 
 For byte-level BPE with the usual pattern (contractions, letters, numbers, other signs, each with at most one leading
-space, then runs of white space), a text may be cut before a single space that stands between two characters other than
-white space: every match ends there. Texts are cut at all such points. Each distinct piece of a run of batches goes
-through the library once, in calls of a bounded number of bytes; long pieces are not remembered.
+space, then runs of white space), no match goes on from a character that is no white space to one that is: a text may
+be cut before any white space that follows another character. Texts are cut at all single spaces between other
+characters; each distinct piece of a run of texts goes through the library once, and short ones are remembered. A piece
+that is still long is cut further: before other white space, and between letters or digits and common punctuation, which
+no match spans either. What remains, a run of letters without any sign, is one match and cannot be cut.
+
+Calls of the library are bounded by bytes (but for such a run), because it needs hundreds of bytes for each character.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space beside other white space, or at an end of the text: the text needs the slower cut.
 _AWKWARD = re.compile(r"\s | \s|^ | $")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Characters of a piece that is remembered; pieces in memory; bytes in one call of the library.
-SHORT, REMEMBERED, CALL_BYTES = 48, 300_000, 1 << 20
+#: Further places where no match goes on. Letters and signs of which every version of Unicode says the same.
+_FURTHER = re.compile(r"(?<=\S)(?=[ \t\n\r])|(?<=[A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3])(?=[0-9,.!?;:\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
+#: Characters of a piece that is remembered, and of one that is cut further; pieces in memory; bytes in one call of the
+#: library, and of the texts that are cut at once.
+SHORT, LONG, REMEMBERED, CALL_BYTES, RUN_BYTES = 48, 4_096, 150_000, 1 << 16, 1 << 19
+
+
+def runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a column (null: empty) in runs of about RUN_BYTES bytes of UTF-8, with the place of the first."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0), np.int64)
+    start = 0
+    while start < len(sizes):
+        end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start : start + 8192]), RUN_BYTES)))
+        yield start, [t or "" for t in column.slice(start, end - start).to_pylist()]
+        start = end
 
 
 def pieces(text: str) -> list[str]:
@@ -28,11 +47,31 @@ def pieces(text: str) -> list[str]:
     return _CUT.split(text)
 
 
+def further(piece: str, least: int = LONG // 4) -> list[str]:
+    """A long piece in parts of at least ``least`` characters (but for the last), as far as it may be cut."""
+    cuts, last = [0], 0
+    for found in _FURTHER.finditer(piece):
+        if found.start() - last >= least:
+            last = found.start()
+            cuts.append(last)
+    return [piece[a:b] for a, b in zip(cuts, [*cuts[1:], len(piece)], strict=True)]
+
+
+#: Stands before a piece that has no space before it: it is white space, which no other piece starts with.
+_BARE = "\n"
+
+
+def _cut_further(part: str) -> list[str]:
+    first, *rest = further(part)
+    return [first, *(_BARE + x for x in rest)]
+
+
 class Memory:
     """What a library makes of pieces: ``value`` of the ids of each, with one entry for each distinct piece.
 
     Pieces without white space at their ends or inside go through the library many at a time, joined as they stand in
-    texts: the ids of each begin where a token begins with a space, and nowhere else (``opens`` by id).
+    texts: the ids of each begin where a token begins with a space, and nowhere else (``opens`` by id). Where a
+    library's tokens do not fall so, the pieces go through it one by one.
     """
 
     def __init__(self, library, opens: np.ndarray, value: Callable[[np.ndarray], object]):
@@ -45,38 +84,49 @@ class Memory:
         rows, new = [], set()
         for text in texts:
             parts = pieces(text)
-            parts[0] = f"\n{parts[0]}"  # no space before it: it is marked by white space, which no other piece starts with
+            parts[0] = _BARE + parts[0]
+            if len(text) > LONG and max(map(len, parts)) > LONG:
+                parts = [x for part in parts for x in (_cut_further(part) if len(part) > LONG else (part,))]
             rows.append(parts)
             new.update(parts)
         new.difference_update(self.known)
         call, alone, size = [], [], 0
         for part in new:
-            if part[:1] == "\n" or not part or part[-1].isspace() or " " in part or "<|" in part:
+            if part[:1] == _BARE or not part or part[-1].isspace() or " " in part or "<|" in part:
                 alone.append(part)
                 continue
             call.append(part)
-            size += len(part)
+            size += len(part.encode()) if not part.isascii() else len(part)
             if size >= CALL_BYTES:
                 self._joined(call)
                 call, size = [], 0
         self._joined(call)
-        for start in range(0, len(alone), 4096):
-            some = alone[start : start + 4096]
-            found = self.library.encode_batch_fast([p[1:] if p[:1] == "\n" else f" {p}" for p in some], add_special_tokens=False)
-            self.known.update((p, self.value(np.array(e.ids, "<u4"))) for p, e in zip(some, found, strict=True))
+        self._each(alone)
         out = [list(map(self.known.__getitem__, parts)) for parts in rows]
         for part in new:
-            if len(part) > SHORT or part[:1] == "\n":
+            if len(part) > SHORT or part[:1] == _BARE:
                 del self.known[part]
         return out
 
+    def _each(self, parts: list[str]) -> None:
+        """Pieces one by one, in calls of a bounded number of bytes."""
+        call, size = [], 0
+        for i, part in enumerate(parts):
+            call.append(part)
+            size += len(part.encode())
+            if size >= CALL_BYTES or i == len(parts) - 1:
+                found = self.library.encode_batch_fast([p[1:] if p[:1] == _BARE else f" {p}" for p in call], add_special_tokens=False)
+                self.known.update((p, self.value(np.array(e.ids, "<u4"))) for p, e in zip(call, found, strict=True))
+                call, size = [], 0
+
     def _joined(self, call: list[str]) -> None:
         if not call:
             return
         ids = np.array(self.library.encode_batch_fast([f" {' '.join(call)}"], add_special_tokens=False)[0].ids, "<u4")
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) != len(call):
-            raise ValueError("pieces and tokens that begin with a space differ in number")
+            self._each(call)
+            return
         self.known.update(zip(call, self.value_parts(ids, starts), strict=True))
 
     def value_parts(self, ids: np.ndarray, starts: np.ndarray) -> list:
