@@ -2,9 +2,10 @@
 
 Each stage reads what the stage before it wrote (Parquet below the shared folder) and works on all of it:
 
-1. ``language_id``: PPM language identification; texts without a language (null, empty, no letter) go.
+1. ``language_id``: PPM language identification; texts without a language (null, empty, no letter, in none of those
+   learned) go.
 2. ``near_dedup``: MinHash near-duplicates on five-word shingles at a similarity of 0.8; one document of each group stays.
-3. ``mix``: sources are mixed to target weights; documents are repeated or cut as the mix takes them.
+3. ``mix``: sources are mixed to target weights; shards draw blocks of the documents, and rows follow shard by shard.
 4. ``encode``: byte-level BPE; each row gets its token ids, their number and digests.
 
 All but the last return the columns of ``documents``. Null ids and null sources are kept; an empty table stays empty.
@@ -15,33 +16,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marginalia.cluster import Scratch
 from marginalia.llm import langid
 from marginalia.llm.bpe import encode_documents
-from marginalia.llm.dedup import near_duplicates
+from marginalia.llm.dedup import without_near_duplicates
 from marginalia.llm.mixing import mixed_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language cannot be determined. The model is learned from the stage's own labelled rows."""
-    model = langid.fit(langid.learned(docs))
-    if not model.languages:  # nothing to learn from: no document can be judged
-        return docs
-    packed = docs.select(F.struct("*").alias("row"), F.col("text"))
-    return langid.identify(packed, model, keep=["row"]).filter(F.col("lang_pred") != langid.UNDETERMINED).select("row.*")
+    """Drop documents whose language cannot be determined: without a letter, or coded with more than eight bits a byte
+    under every language, which is worse than without any statistics. The model is learned from the stage's own labelled
+    rows; where there are none, only the letter counts."""
+    return langid.determined(docs, langid.fit(langid.learned(docs)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates, the one with the smallest id; a repeated row stays once.
-
-    Documents without shingles belong to no group and stay. Where one id has several texts, all stay if one of them does.
-    """
-    packed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"), F.struct("*").alias("row"))
-    verdicts = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    stays = packed.join(verdicts, "_id", "left_semi").dropDuplicates(["_id", "_text"])
-    return stays.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
+    """Keep one document of each group of near-duplicates: the one with the smallest id, null last."""
+    return without_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,4 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = scratch.table(docs, name)
+            if number:
+                scratch.drop(STAGES[number - 1][0])
     return docs

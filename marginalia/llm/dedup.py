@@ -10,8 +10,8 @@ Pairs that meet are confirmed on their full shingle sets, in an order that never
 1. Equal sets become one representative (their smallest id).
 2. *Stars*: each member of a key is confirmed against the key's smallest representative. Confirmed links are joined to
    components.
-3. *Rest*: only keys whose members lie in different components remain. Their members are dealt in blocks, so that each
-   two blocks meet in one task; a pair is treated at the first key it shares. A signature estimate over all positions
+3. *Rest*: only keys whose members lie in different components remain. Their members are dealt in blocks of a bounded
+   number of members and shingles, so that each two blocks meet in one task; a pair is treated at the first key it shares. A signature estimate over all positions
    selects the members of possible links, and their full sets are compared block by block with a matrix product.
    Only links that join components leave the task.
 
@@ -33,17 +33,19 @@ from marginalia.llm.shingles import shingle_rows
 
 #: b-bit positions in a signature, and the chunks among the first of them.
 POSITIONS, CHUNKS, WIDTH, ERRORS = 128, 8, 5, 1
-#: Members of a key that meet in one task, at most twice.
-BLOCK = 2048
+#: Members of a key in a block, and their shingles; two blocks of a key meet in one task.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: Ids that may be broadcast: 16 MB at most; with more, the join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Pairs of numbers that may be broadcast to leave rows out: 30 MB at most in an executor.
+BROADCAST_PAIRS = 250_000
 _RANDOM = np.random.default_rng(7)
 _A = _RANDOM.integers(1, 2**32 - 1, POSITIONS, dtype=np.uint32) | np.uint32(1)
 _B = _RANDOM.integers(0, 2**32 - 1, POSITIONS, dtype=np.uint32)
-_SIGNED = "id long, n_shingles long, node long, signature binary"
+_SIGNED = "id long, key long, n_shingles long, node long, signature binary"
 
 
-def _texts(batch: pa.RecordBatch, column: int = 1) -> list[bytes | None]:
+def _texts(batch: pa.RecordBatch, column: int = 2) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
@@ -67,7 +69,7 @@ def _signer(words: int):
                     sizes.append(len(own))
                     nodes.append(_node(own) if len(own) else None)
                     signatures.append(minima[i].tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary())], ["id", "n_shingles", "node", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary())], ["id", "key", "n_shingles", "node", "signature"])
 
     return sign
 
@@ -85,9 +87,9 @@ def _set_maker(words: int):
 
 
 def _sets_of(texts: DataFrame, nodes: DataFrame, representatives: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of some nodes, and perhaps a few more; ids are broadcast if their number has been checked to be small."""
-    ids = representatives.join(nodes, "node", "left_semi").select("id").distinct()
-    wanted = texts.join(F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    """(node, shingles) of some nodes, and perhaps a few more; keys are broadcast if their number has been checked to be small."""
+    keys = representatives.join(nodes, "node", "left_semi").select("key").distinct()
+    wanted = texts.join(F.broadcast(keys) if nodes.count() <= BROADCAST_IDS else keys, "key", "left_semi").select("id", "key", "text")
     return wanted.mapInArrow(then_give_back(_set_maker(words)), "node long, shingles array<long>").dropDuplicates(["node"])
 
 
@@ -237,23 +239,69 @@ def near_duplicates(documents: DataFrame, *, id_column: str = "doc_id", text_col
     Two documents are linked if their sets of word shingles share at least ``percent`` hundredths of their union.
     ``component_id`` is the smallest id reachable over links, ``kept`` says whether it is the document's own.
 
-    Null, empty and blank texts have no shingles and are linked with nothing. Every row is a document of its own, also
-    where an id repeats. Rows with a null id take no part: their component is null and they are kept. An empty table
-    gives an empty result. Other columns play no part, whatever their names.
+    Null, empty and blank texts have no shingles and are linked with nothing. Texts are read whole, however long. Every
+    row is a document of its own, also where an id repeats. Rows with a null id take no part: their component is null
+    and they are kept. An empty table gives an empty result. Other columns play no part, whatever their names.
     """
     spark = documents.sparkSession
     ship(spark)
-    with small_batches(spark):  # every step that runs Python ends in a written table here
-        return _near_duplicates(documents, id_column, text_column, shingle, percent, Scratch(spark, "near-duplicates"))
+    scratch = Scratch(spark, "near-duplicates")
+    identified, text = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string")
+    signed, roots = _classes(documents, identified, F.xxhash64(identified, text), text, shingle, percent, scratch, null_ids=False)
+    smallest = signed.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("least_id"))
+    rooted = smallest.join(roots, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("least"))
+    named = rooted.join(least, "root", "left").select(F.col("node").alias("_node"), F.coalesce("least", "least_id").alias("component_id"))
+    out = signed.join(named, signed["node"] == named["_node"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _near_duplicates(documents: DataFrame, id_column: str, text_column: str, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
-    texts = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    signed = scratch.table(texts.mapInArrow(then_give_back(_signer(shingle)), _SIGNED), "signed")
-    chosen = texts.filter("id IS NOT NULL")
-    full = signed.filter("node IS NOT NULL AND id IS NOT NULL")
-    smallest = full.groupBy("node").agg(F.min("id").alias("id"))
-    representatives = scratch.table(smallest.join(full.select("node", "id", "signature"), ["node", "id"]).dropDuplicates(["node"]), "representatives")
+def without_near_duplicates(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``documents``, all columns as they are, with one row of each class of near-duplicates: that with the smallest id
+    (null last), of equal ids that with the smallest hash of all columns.
+
+    Rows are told apart by their id and that hash, so a null id is a row like others, the texts of a repeated id are
+    documents of their own, and of rows that are equal in all columns one stays. Rows without shingles are alike to
+    nothing and stay. Verdicts are numbers; texts are moved only if the rows to be left out are too many to broadcast.
+    """
+    spark = documents.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "near-duplicates")
+    identified, text = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string")
+    whole = F.xxhash64(*(F.col(f"`{name}`") for name, kind in documents.dtypes if "map<" not in kind and "variant" not in kind))
+    signed, roots = _classes(documents, identified, whole, text, shingle, percent, scratch, null_ids=True)
+    classed = signed.filter("node IS NOT NULL").join(roots, "node", "left").select("id", "key", F.coalesce("component", "node").alias("root"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    rows = classed.groupBy("root", "id", "key").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    judged = rows.join(first, "root").select("id", "key", "n", order.eqNullSafe(F.col("first")).alias("stays"))
+    judged = scratch.table(judged.filter("NOT stays OR n > 1").select(F.col("id").alias("_id"), F.col("key").alias("_key"), "stays"), "judged")
+    counts = judged.groupBy().agg(F.count(F.lit(1)).alias("all"), F.count_if("stays").alias("repeated")).first()
+    narrow = (lambda frame: F.broadcast(frame)) if counts["all"] <= BROADCAST_PAIRS else lambda frame: frame
+    same = [identified.eqNullSafe(F.col("_id")), whole == F.col("_key")]
+    out = documents.join(narrow(judged.drop("stays")), same, "left_anti")
+    if counts["repeated"]:
+        again = documents.join(narrow(judged.filter("stays").drop("stays")), same, "left_semi").select(F.struct("*").alias("row"), identified.alias("_id"), whole.alias("_key"))
+        out = out.unionByName(again.dropDuplicates(["_id", "_key"]).select("row.*"))
+    return out
+
+
+def _classes(documents: DataFrame, identified: Column, key: Column, text: Column, shingle: int, percent: int, scratch: Scratch, *, null_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """(signed, roots): ``signed`` has (id, key, n_shingles, node) for each row, ``roots`` (node, component) for each node
+    that has links, but for the roots themselves."""
+    with small_batches(documents.sparkSession):  # every step that runs Python ends in a written table here
+        texts = documents.select(identified.alias("id"), key.alias("key"), text.alias("text"))
+        signed = scratch.table(texts.mapInArrow(then_give_back(_signer(shingle)), _SIGNED), "signed")
+        part = "true" if null_ids else "id IS NOT NULL"
+        roots = _linked_classes(texts.filter(part), signed.filter(part), shingle, percent, scratch)
+    return signed.drop("signature"), roots
+
+
+def _linked_classes(chosen: DataFrame, signed: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    full = signed.filter("node IS NOT NULL")
+    smallest = full.groupBy("node").agg(F.min("key").alias("key"))
+    representatives = scratch.table(smallest.join(full.select("node", "key", "n_shingles", "signature"), ["node", "key"]).dropDuplicates(["node"]), "representatives")
 
     places = representatives.select("node", F.posexplode(_chunk_keys()).alias("place", "key"))
     ends_of = places.groupBy("place", "key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
@@ -269,11 +317,13 @@ def _near_duplicates(documents: DataFrame, id_column: str, text_column: str, shi
     star_classes = components(star_links, scratch, "star_rounds")
 
     classed = shared.select("place", "key", "node").join(star_classes, "node", "left").select("place", "key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = classed.groupBy("place", "key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    dealt = classed.join(mixed.select("place", "key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), ["place", "key"])
-    dealt = dealt.withColumn("half", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    mixed = classed.groupBy("place", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    members = classed.join(mixed.select("place", "key"), ["place", "key"]).join(representatives.select("node", "n_shingles", "signature"), "node")
+    members = scratch.table(members, "members")
+    sizes = members.groupBy("place", "key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, ["place", "key"]).withColumn("half", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     met_blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least(t, F.col("half")).alias("i"), F.greatest(t, F.col("half")).alias("j")))
-    dealt = dealt.withColumn("pair", F.explode(met_blocks)).join(representatives.select("node", "signature"), "node")
+    dealt = dealt.withColumn("pair", F.explode(met_blocks))
     dealt = dealt.select(F.xxhash64("place", "key", "pair.i", "pair.j").alias("key_group"), "place", "node", "component", "half", (F.col("pair.i") != F.col("pair.j")).alias("both"), "signature")
     # A pair at the threshold differs in a share of 1 - J of the positions; 4.7 standard deviations more are let through.
     share = 1 - percent / 100
@@ -282,12 +332,7 @@ def _near_duplicates(documents: DataFrame, id_column: str, text_column: str, shi
     more = _sets_of(chosen, possible.select("node").distinct(), representatives, shingle)
     grouped = possible.join(more, "node").select("key_group", "node", "component", "shingles").repartition("key_group").sortWithinPartitions("key_group")
     links = scratch.table(star_links.unionByName(grouped.mapInArrow(then_give_back(_confirm(percent)), "a long, b long")), "links")
-    scratch.drop("possible", "shared")
-    classes = components(links, scratch, "rounds")
-
-    rooted = smallest.join(classes, "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("least"))
-    named = rooted.join(least, "root", "left").select(F.col("node").alias("_node"), F.coalesce("least", "id").alias("component_id"))
-    out = signed.join(named, signed["node"] == named["_node"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    scratch.drop("possible", "shared", "members")
+    roots = components(links, scratch, "rounds")
+    scratch.drop("representatives", "star_links")
+    return roots

@@ -22,7 +22,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes hashed at once; also the size of the tables of powers.
-_STRIDE = 1 << 20
+_STRIDE = 1 << 16
 _TABLES: dict[str, np.ndarray] = {}
 
 
