@@ -37,7 +37,7 @@ def test_neighbours_recall_and_exact_scores(spark):
     bad = [(5000, None), (5001, [0.0] * 8), (5002, [float("nan")] * 8), (5003, [1.0, None] * 4), (5004, [1.0]), (None, [1.0] * 8), (5005, [])]
     frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("cell", F.lit("clash"))
     got = {}
-    for r in ann.nearest_neighbours(frame, every=20, centroids=8, least_rows=50).orderBy("query_id", "rank").collect():
+    for r in ann.nearest_neighbours(frame, every=20, centroids=8).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     want = nearest(rows, 20, 10)
     assert got.keys() == want.keys()
