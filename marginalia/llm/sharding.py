@@ -2,21 +2,32 @@
 
 Every document starts in a shard by the rank of its hash, so that shards are even. In each round, a group's members are
 counted by shard; each linked document wants the shard that holds most of its group (itself included), among those with
-room and its own, or in every other round among all. Between two shards, as many documents move as want to move back, plus what the target has room for;
-whole groups come first in line. Rounds end when nothing moves. Documents without links fill the shards afterwards, so
-they never stand in the way; shards then differ by at most one document (law ``rows``).
+room and its own, or in every other round among all. Between two shards, as many documents move as want to move back,
+plus what the target has room for; whole groups come first in line. Rounds go on as long as they join members of groups.
 
-Links are never listed: a group is its key, and a round joins documents with one row for each group.
+What capacities leave cut is then finished on groups: those that are still in several shards, and fit into one, are moved
+whole into the room that the other groups leave: large ones one by one, small ones laid along that room. At most one
+small group for each border between two shards does not fit there; these take what room is left, and only a group that
+finds no room anywhere stays cut.
+
+Documents without links fill the shards afterwards, so they never stand in the way; shards then differ by at most one
+document (law ``rows``). Links are never listed: a group is its key, and a round joins documents with one row for each
+group (and salt, so that a frequent text is no single task).
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.cluster import Scratch, row_order
 
-SHARDS, ROUNDS = 16, 8
+SHARDS = 16
+#: Parts of a group in joins.
+SALTS = 8
+#: A group with this part of a shard at least is placed by itself.
+LARGE = 64
 
 
 def _bits(value: Column) -> Column:
@@ -43,7 +54,8 @@ def _round(state: DataFrame, capacity: list[int], shards: int, turn: int) -> tup
     counts = state.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
     per_group = counts.groupBy(F.col("group").alias("_group")).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), F.xxhash64("group", "shard").alias("turn"), F.col("shard").alias("at")))).alias("held"))
     open_shards = F.array(*(F.lit(i) for i in range(shards) if room[i] > 0)).cast("array<int>")
-    joined = state.join(per_group, state["group"] == per_group["_group"])
+    salted = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = state.withColumn("_own", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, (F.col("group") == F.col("_group")) & (F.col("_own") == F.col("_salt")))
     largest = F.element_at("held", 1)["at"]
     # in every second round: the largest among those with room and the own, if the largest of all is full
     within = F.element_at(F.filter("held", lambda h: F.array_contains(open_shards, h["at"]) | (h["at"] == F.col("shard"))), 1)["at"]
@@ -64,41 +76,101 @@ def _allowed(flows: dict[tuple[int, int], int], room: list[int], shards: int) ->
     return {k: n for k, n in allowed.items() if n > 0}
 
 
-def propagate(linked: DataFrame, capacity: list[int], scratch: Scratch, *, rounds: int = ROUNDS) -> DataFrame:
-    """(row, group, shard) after label propagation over ``linked`` (row, group), which must fit into ``capacity``."""
+def _joined(state: DataFrame) -> int:
+    """How many documents are in the shard that holds most of their group."""
+    counts = state.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("group").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
+
+
+def propagate(linked: DataFrame, capacity: list[int], scratch: Scratch) -> DataFrame:
+    """(row, group, shard) after label propagation over ``linked`` (row, group), which must fit into ``capacity``.
+
+    Rounds end when two in a row, one of each kind, join no more documents with most of their group. That number grows
+    otherwise and is at most that of the documents, so they do end.
+    """
     shards = len(capacity)
     total = linked.count()
     even = _capacity(total, shards)
     start = row_order(linked, [], ["row"], _bits(F.xxhash64(F.lit("start"), "row")), total=total)
     state = scratch.table(start.select("row", "group", _interval(F.col("rank"), even).cast("int").alias("shard")), "round0")
-    still = 0
-    for turn in range(rounds if total else 0):
+    best, still, turn = _joined(state) if total else 0, 0, 0
+    while total and still < 2 and best < total:
         wanted, room = _round(state, capacity, shards, turn)
         wanted = scratch.table(wanted, f"wanted{turn}")
         # at most shards**2 numbers
         flows = {(r["shard"], r["wants"]): r["n"] for r in wanted.filter("shard <> wants").groupBy("shard", "wants").agg(F.count(F.lit(1)).alias("n")).collect()}
         allowed = _allowed(flows, room, shards)
+        turn += 1
         if not allowed:
             still += 1
-            scratch.drop(f"wanted{turn}")
-            if still == 2:
-                break
+            scratch.drop(f"wanted{turn - 1}")
             continue
-        still = 0
         limits = F.create_map(*(F.lit(x) for (s, t), n in allowed.items() for x in (s * shards + t, n)))
         movers = row_order(wanted.filter("shard <> wants"), ["shard", "wants"], ["group", "row"], _bits(F.xxhash64("group")), total=sum(flows.values()))
         goes = movers.filter(F.col("rank") < F.coalesce(F.try_element_at(limits, F.col("shard") * shards + F.col("wants")), F.lit(0)))
         moved = wanted.join(goes.select("row", F.col("wants").alias("to")), "row", "left").select("row", "group", F.coalesce("to", "shard").alias("shard"))
-        state = scratch.table(moved, f"round{turn + 1}")
-        scratch.drop(f"round{turn}", f"wanted{turn}")
-    return state
+        after = scratch.table(moved, f"round{turn}")
+        now = _joined(after)
+        if now > best:
+            best, still, state = now, 0, after
+        else:  # a round that joins nothing is not kept
+            still += 1
+    return _finished(state, capacity, scratch) if best < total else state
+
+
+def _finished(state: DataFrame, capacity: list[int], scratch: Scratch) -> DataFrame:
+    """Groups that are cut, moved whole into the room that the others leave; those larger than a shard fill the emptiest.
+
+    Large groups, a LARGE part of a shard at least, are few (no more than shards * LARGE) and placed one by one, the
+    largest first, where they leave the least room. The others are laid along the room that remains.
+    """
+    shards, most = len(capacity), max(capacity)
+    groups = state.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("shard").alias("low"), F.max("shard").alias("high"))
+    cut = scratch.table(groups.filter("low < high").select("group", "n"), "cut")
+    if cut.isEmpty():
+        return state
+    stays = state.join(cut.select("group"), "group", "left_anti")
+    load = {r["shard"]: r["n"] for r in stays.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number for each shard
+    free = [capacity[i] - load.get(i, 0) for i in range(shards)]
+    parts: dict[int, list[tuple[int, int]]] = {}  # group -> (members, shard)
+
+    def put(group: int, n: int, split: bool) -> bool:
+        fits = [i for i in range(shards) if free[i] >= n]
+        places = [min(fits, key=lambda i: (free[i], i))] if fits else sorted(range(shards), key=lambda i: (-free[i], i)) if split else []
+        for i in places:
+            part = min(n, free[i])
+            if part:
+                parts.setdefault(group, []).append((part, i))
+                free[i], n = free[i] - part, n - part
+        return bool(places)
+
+    large = cut.filter(F.col("n") * LARGE >= most).collect()
+    homeless = [r for r in sorted(large, key=lambda r: (-r["n"], r["group"])) if not put(r["group"], r["n"], r["n"] > most)]
+    small = cut.filter(F.col("n") * LARGE < most)
+    room = list(free)
+    laid = row_order(small, [], ["group"], _bits(F.xxhash64("group")), sums={"before": "n"})
+    laid = scratch.table(laid.select("group", "n", "before", _interval(F.col("before"), room).alias("at"), _interval(F.col("before") + F.col("n") - 1, room).alias("stop")), "laid")
+    for r in laid.filter("at = stop AND at < " + str(shards)).groupBy("at").agg(F.sum("n").alias("n")).collect():
+        free[r["at"]] -= r["n"]
+    # at most one for each border; and what the room of unplaced large groups does not hold
+    homeless += laid.filter("at <> stop OR at >= " + str(shards)).collect()
+    for r in sorted(homeless, key=lambda r: (-r["n"], r["group"])):
+        put(r["group"], r["n"], True)
+    members = state.join(cut.select("group"), "group", "left_semi").select("row", "group")
+    whole = laid.filter("at = stop AND at < " + str(shards)).select("group", F.col("at").cast("int").alias("to"))
+    out = stays.select("row", "group", "shard").unionByName(members.join(whole, "group").select("row", "group", F.col("to").alias("shard")))
+    if parts:
+        placed = state.sparkSession.createDataFrame([(g, [i for _, i in p], np.cumsum([n for n, _ in p]).tolist()) for g, p in parts.items()], "group long, to array<int>, ends array<long>")
+        ranked = row_order(members.join(F.broadcast(placed), "group"), ["group"], ["row"], _bits(F.xxhash64("row")))
+        out = out.unionByName(ranked.select("row", "group", F.element_at("to", F.size(F.filter("ends", lambda e: e <= F.col("rank"))) + 1).alias("shard")))
+    return scratch.table(out, "finished")
 
 
 def shard_documents(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of ``documents``; the law is ``rows``.
 
     ``size`` is the UTF-8 bytes of the text plus 1. Documents with equal texts are linked; each such group ends in one
-    shard unless it does not fit. ``slot`` counts from 0 in each shard without gaps, copies next to each other. Null
+    shard unless it fits nowhere (see the module). Texts are read whole, however long. ``slot`` counts from 0 in each shard without gaps, copies next to each other. Null
     texts have size 1, a null checksum and no links. Repeated rows are documents of their own, null ids are kept, an
     empty table gives an empty result, and other columns play no part.
     """
