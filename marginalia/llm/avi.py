@@ -1,16 +1,22 @@
 """Media columns: AVI files with motion-JPEG frames, written and read with numpy.
 
-Frames are JPEG images of the lossless process (SOF3, 8-bit samples, one component, prediction from the left), so a
-payload of bytes comes back as it was. Every line is a restart interval: the lines of all frames of many files are
+Payloads are stored as JPEG images of the lossless process (SOF3, 8-bit samples, one component, prediction from the
+left), so bytes come back as they were. Every line is a restart interval: the lines of all frames of many files are
 therefore decoded side by side, one sample of each at a time, by a table over the next 17 bits.
 
-``encode_files`` stores payloads, ``decode_files`` parses RIFF chunks and the idx1 index and decodes the frames, and
-``shots`` finds cuts where the histogram difference of neighbouring frames stands out from those around it.
+``read_media`` reads AVI files in general: RIFF chunks, ``rec`` lists, the idx1 index or, without a sound one, the movi
+list in order; frames of the lossless process as above, and of the baseline process with their own quantisation and
+Huffman tables (the usual ones where a frame leaves them out, as motion-JPEG may), restarts and any sampling. What is
+damaged gets a status, and frames that cannot be decoded are left out.
+
+``clips`` cuts media into shots where the histogram difference of neighbouring frames stands out from those around it,
+a row with its times for each.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,12 +26,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.cluster import ship
+from marginalia.cluster import ship, then_give_back
 
 WIDTH, LINES, FRAMES_A_SECOND = 192, 16, 25
 #: Fixed values (JPEG standard, table K.3): how many Huffman codes of 1..16 bits there are; the symbols are 0..11.
 CODE_COUNTS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
 BINS, AROUND, DEVIATIONS, LEAST_CUT = 16, 8, 3.0, 0.25
+#: Fixed values (JPEG standard, tables K.3 to K.6): numbers of codes of 1..16 bits and their symbols; of the tables for
+#: AC coefficients the symbols up to 15 bits, the others follow by value. And the zigzag order of coefficients.
+USUAL_CODES = {
+    (0, 0): ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), ()),
+    (0, 1): ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), ()),
+    (1, 0): ((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), (0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32, 0x81, 0x91, 0xA1, 0x08, 0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82)),
+    (1, 1): ((0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119), (0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22, 0x32, 0x81, 0x08, 0x14, 0x42, 0x91, 0xA1, 0xB1, 0xC1, 0x09, 0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16, 0x24, 0x34, 0xE1, 0x25, 0xF1)),
+}
+ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+#: Frames of more samples than this are taken for damage.
+MOST_SAMPLES = 1 << 28
 
 
 def _codes() -> list[tuple[int, int]]:
@@ -150,29 +167,64 @@ def encode_files(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
-def riff_frames(data: bytes) -> list[bytes]:
-    """The frames of an AVI file, by its index; without one, in the order of the movi list."""
-    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
-        raise ValueError("not an AVI file")
-    at, end, movi, index = 12, 8 + struct.unpack_from("<I", data, 4)[0], None, None
+class Damaged(ValueError):
+    """Media that cannot be read as they are."""
+
+
+def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(kind, start, end) of the chunks between two places; the last one may be cut off. Lists of records are entered."""
     while at + 8 <= end:
         kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if kind == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movi = (at + 8, at + 8 + size)
-        elif kind == b"idx1":
-            index = [struct.unpack_from("<4sIII", data, i) for i in range(at + 8, at + 8 + size, 16)]
+        stop = min(at + 8 + size, end)
+        if kind == b"LIST" and data[at + 8 : at + 12] == b"rec ":
+            yield from _chunks(data, at + 12, stop)
+        else:
+            yield kind, at + 8, stop
         at += 8 + size + size % 2
-    if movi is None:
-        raise ValueError("an AVI file without a movi list")
-    if index is not None:
-        return [data[movi[0] + where + 8 : movi[0] + where + 8 + size] for kind, _, where, size in index if kind[2:] in (b"dc", b"db")]
-    found, at = [], movi[0] + 4
-    while at + 8 <= movi[1]:
-        kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if kind[2:] in (b"dc", b"db"):
-            found.append(data[at + 8 : at + 8 + size])
+
+
+def _is_frame(kind: bytes) -> bool:
+    return kind[2:] in (b"dc", b"db")
+
+
+def _layout(data: bytes) -> tuple[list[tuple[int, int]], list[tuple[bytes, int, int]], float]:
+    """(movi lists, index entries, frames a second) of an AVI file, from all of its RIFF parts."""
+    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+        raise Damaged("not an AVI file")
+    movi, index, rate, at = [], [], float(FRAMES_A_SECOND), 0
+    while data[at : at + 4] == b"RIFF":
+        size = struct.unpack_from("<I", data, at + 4)[0] if at + 8 <= len(data) else 0
+        end = min(len(data), at + 8 + size)
+        for kind, start, stop in _chunks(data, at + 12, end):
+            if kind == b"LIST" and data[start : start + 4] == b"movi":
+                movi.append((start, stop))
+            elif kind == b"LIST" and data[start : start + 4] == b"hdrl":
+                for inner, low, high in _chunks(data, start + 4, stop):
+                    if inner == b"avih" and high - low >= 4 and (micro := struct.unpack_from("<I", data, low)[0]):
+                        rate = 1e6 / micro
+            elif kind == b"idx1":
+                index += [struct.unpack_from("<4sIII", data, i) for i in range(start, stop - 15, 16)]
         at += 8 + size + size % 2
-    return found
+    if not movi:
+        raise Damaged("no movi list")
+    return movi, [(kind, where, size) for kind, _, where, size in index], rate
+
+
+def _indexed(data: bytes, start: int, index: list[tuple[bytes, int, int]]) -> list[bytes] | None:
+    """The frames that an index names, by places from the movi list or from the file's start; None if it is not sound."""
+    wanted = [e for e in index if _is_frame(e[0])]
+    for base in (start, 0):
+        places = [base + where for _, where, _ in wanted]
+        if wanted and all(data[p : p + 8] == kind + struct.pack("<I", size) and p + 8 + size <= len(data) for p, (kind, _, size) in zip(places, wanted, strict=True)):
+            return [data[p + 8 : p + 8 + size] for p, (_, _, size) in zip(places, wanted, strict=True)]
+    return None
+
+
+def riff_frames(data: bytes) -> list[bytes]:
+    """The frames of an AVI file, by its index; without a sound one, in the order of the movi lists."""
+    movi, index, _ = _layout(data)
+    found = _indexed(data, movi[0][0], index)
+    return found if found is not None else [data[a:b] for start, stop in movi for kind, a, b in _chunks(data, start + 4, stop) if _is_frame(kind)]
 
 
 _SCANS: dict[bytes, tuple[int, int, int]] = {}
@@ -191,9 +243,9 @@ def _scan(frame: bytes) -> tuple[int, int, int]:
         if marker == 0xC3:
             bits, lines, width, parts = struct.unpack_from(">BHHB", body)
             if bits != 8 or parts != 1:
-                raise ValueError("only 8-bit frames of one component are read")
+                raise Damaged("only 8-bit frames of one component are read")
         elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            raise ValueError("only lossless frames are read")
+            raise Damaged("only lossless frames are read")
         elif marker == 0xDD:
             interval = struct.unpack(">H", body)[0]
         elif marker == 0xC4:
@@ -202,7 +254,7 @@ def _scan(frame: bytes) -> tuple[int, int, int]:
             break
         at += 2 + size
     if interval != width or table != bytes([0, *CODE_COUNTS, *range(sum(CODE_COUNTS))]) or body[3:] != bytes([1, 0, 0]):
-        raise ValueError("only frames with a restart at each line, the usual code table and prediction from the left are read")
+        raise Damaged("only frames with a restart at each line, the usual code table and prediction from the left are read")
     if len(_SCANS) < 4096:
         _SCANS[head] = lines, width, at + 2 + size
     return lines, width, at + 2 + size
@@ -221,24 +273,37 @@ def _decode_lines(coded: list[bytes], width: int) -> np.ndarray:
         found[i] = difference[key]
         at += used[key]
     if (at > stop).any() or (stop - at >= 8).any():
-        raise ValueError("damaged frame")
+        raise Damaged("damaged frame")
     return ((np.cumsum(found, axis=0, dtype=np.int32) + 128) & 0xFF).astype(np.uint8).T
 
 
+def _lines_of(frame: bytes) -> tuple[list[bytes], int, int]:
+    """(coded lines, lines, width) of a lossless frame."""
+    lines, width, start = _scan(frame)
+    end = frame.rfind(b"\xff\xd9")
+    if end < start:
+        raise Damaged("a frame without an end")
+    # after this a marker is FF D0..D7 and a stuffed FF is FF 00 00: cut at the markers, then unstuff
+    own = [frame[start:end].replace(b"\xff\x00", b"\xff\x00\x00")]
+    for mark in _RESTART[: min(8, lines - 1)]:
+        own = [x for part in own for x in part.split(mark)]
+    if len(own) != lines:
+        raise Damaged("a frame with another number of restarts than lines")
+    return [x.replace(b"\xff\x00\x00", b"\xff") for x in own], lines, width
+
+
+def _decode_frame(frame: bytes) -> np.ndarray:
+    coded, _, width = _lines_of(frame)
+    return _decode_lines(coded, width)
+
+
 def decode_files(files: list[bytes]) -> list[list[np.ndarray]]:
-    """The frames of each file as arrays of lines by samples."""
+    """The frames of files of the lossless process as arrays of lines by samples, all lines side by side."""
     places, coded, shapes = [], [], []
     for i, data in enumerate(files):
         for frame in riff_frames(data):
-            lines, width, start = _scan(frame)
-            body = frame[start : frame.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff\x00\x00")
-            # after this a marker is FF D0..D7 and a stuffed FF is FF 00 00: cut at the markers, then unstuff
-            own = [body]
-            for mark in _RESTART[: min(8, lines - 1)]:
-                own = [x for part in own for x in part.split(mark)]
-            if len(own) != lines:
-                raise ValueError("a frame with another number of restarts than lines")
-            coded += [x.replace(b"\xff\x00\x00", b"\xff") for x in own]
+            own, lines, width = _lines_of(frame)
+            coded += own
             places.append(i)
             shapes.append((lines, width))
     out: list[list[np.ndarray]] = [[] for _ in files]
@@ -246,7 +311,7 @@ def decode_files(files: list[bytes]) -> list[list[np.ndarray]]:
         return out
     width = shapes[0][1]
     if any(w != width for _, w in shapes):
-        raise ValueError("frames of one width are read at a time")
+        raise Damaged("frames of one width are read at a time")
     parts = [_decode_lines(coded[a : a + 8192], width) for a in range(0, len(coded), 8192)]
     samples, at = np.concatenate(parts), 0
     for i, (lines, _) in zip(places, shapes, strict=True):
@@ -255,6 +320,175 @@ def decode_files(files: list[bytes]) -> list[list[np.ndarray]]:
     return out
 
 
+def _prefix_table(counts: tuple[int, ...], symbols: tuple[int, ...]) -> np.ndarray:
+    """For the next 16 bits: length of the code * 256 + its symbol; 0 where there is no code."""
+    out, code, at = np.zeros(1 << 16, np.int32), 0, 0
+    for length, count in enumerate(counts, 1):
+        for symbol in symbols[at : at + count]:
+            low = code << (16 - length)
+            if low >= 1 << 16:
+                raise Damaged("a code table with too many codes")
+            out[low : low + (1 << (16 - length))] = length * 256 + symbol
+            code += 1
+        at += count
+        code <<= 1
+    return out
+
+
+def _usual(kind: int, which: int) -> np.ndarray:
+    counts, head = USUAL_CODES[kind, min(which, 1)]
+    every = [r << 4 | n for r in range(16) for n in range(1, 11)] + [0x00, 0xF0] if kind else range(sum(counts))
+    return _prefix_table(counts, (*head, *sorted(set(every) - set(head))))
+
+
+class _Bits:
+    """The coded bits between two restarts."""
+
+    def __init__(self, data: bytes):
+        self.size, self.at = len(data) * 8, 0
+        self.data = np.frombuffer(data.replace(b"\xff\x00", b"\xff") + b"\xff" * 8, np.uint8).astype(np.uint64)
+        self.size = (len(self.data) - 8) * 8
+        d = self.data
+        self.words = (d[:-4] << np.uint64(32) | d[1:-3] << np.uint64(24) | d[2:-2] << np.uint64(16) | d[3:-1] << np.uint64(8) | d[4:]).tolist()
+
+    def peek(self, count: int) -> int:
+        if self.at > self.size:
+            raise Damaged("a scan that ends too early")
+        return self.words[self.at >> 3] >> (40 - count - (self.at & 7)) & ((1 << count) - 1)
+
+    def symbol(self, table: np.ndarray) -> int:
+        found = int(table[self.peek(16)])
+        if not found:
+            raise Damaged("bits that are no code")
+        self.at += found >> 8
+        return found & 255
+
+    def value(self, size: int) -> int:
+        """A signed number of so many bits."""
+        if not size:
+            return 0
+        bits = self.peek(size)
+        self.at += size
+        return bits if bits >> (size - 1) else bits - (1 << size) + 1
+
+
+def _waves() -> np.ndarray:
+    """The inverse cosine transform of one dimension."""
+    k, x = np.arange(8)[:, None], np.arange(8)[None, :]
+    return np.cos((2 * x + 1) * k * np.pi / 16) * np.where(k == 0, np.sqrt(0.125), 0.5)
+
+
+def baseline_planes(frame: bytes) -> list[np.ndarray]:
+    """The component planes of a baseline JPEG frame, each in its own resolution, cut to the image's size."""
+    at, quant, codes, parts, lines, width, interval = 2, {}, {}, [], 0, 0, 0
+    if frame[:2] != b"\xff\xd8":
+        raise Damaged("no JPEG frame")
+    while True:
+        if at + 4 > len(frame) or frame[at] != 0xFF:
+            raise Damaged("a frame without a scan")
+        marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+        body, at = frame[at + 4 : at + 2 + size], at + 2 + size
+        if marker == 0xDB:
+            place = 0
+            while place < len(body):
+                wide, number = divmod(body[place], 16)
+                kind = ">u2" if wide else "u1"
+                quant[number] = np.frombuffer(body, kind, 64, place + 1).astype(np.float64)
+                place += 1 + 64 * (2 if wide else 1)
+        elif marker == 0xC4:
+            place = 0
+            while place + 17 <= len(body):
+                counts = tuple(body[place + 1 : place + 17])
+                codes[divmod(body[place], 16)] = _prefix_table(counts, tuple(body[place + 17 : place + 17 + sum(counts)]))
+                place += 17 + sum(counts)
+        elif marker in (0xC0, 0xC1):
+            depth, lines, width, count = struct.unpack_from(">BHHB", body)
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(count)]
+            if depth != 8 or not parts or not 0 < lines * width * max(h * v for _, h, v, _ in parts) <= MOST_SAMPLES:
+                raise Damaged("a frame header of another kind")
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            raise Damaged("a frame of another process")
+        elif marker == 0xDD:
+            interval = struct.unpack(">H", body)[0]
+        elif marker == 0xDA:
+            break
+    if not parts or body[0] != len(parts):
+        raise Damaged("a scan without its components")
+    tables = {body[1 + 2 * i]: divmod(body[2 + 2 * i], 16) for i in range(body[0])}
+    across, down = max(h for _, h, _, _ in parts), max(v for _, _, v, _ in parts)
+    wide, high = -(-width // (8 * across)), -(-lines // (8 * down))
+    blocks = [np.zeros((high * v, wide * h, 64)) for _, h, v, _ in parts]
+    end = frame.rfind(b"\xff\xd9")
+    # markers are FF D0..D7 here, all other FF bytes are stuffed
+    runs = [_Bits(part) for part in re.split(rb"\xff[\xd0-\xd7]", frame[at : end if end >= at else len(frame)])]
+    per = interval or wide * high
+    for number in range(wide * high):
+        if number % per == 0:
+            if number // per >= len(runs):
+                raise Damaged("too few restarts")
+            bits, before = runs[number // per], [0] * len(parts)
+        y, x = divmod(number, wide)
+        for k, (name, h, v, _) in enumerate(parts):
+            dc, ac = tables[name]
+            first, rest = codes.get((0, dc)), codes.get((1, ac))
+            if first is None or rest is None:
+                codes[0, dc], codes[1, ac] = first, rest = (first if first is not None else _usual(0, dc)), (rest if rest is not None else _usual(1, ac))
+            for j in range(v):
+                for i in range(h):
+                    own = blocks[k][y * v + j, x * h + i]
+                    before[k] += bits.value(min(bits.symbol(first), 16))
+                    own[0], place = before[k], 1
+                    while place < 64:
+                        run, size = divmod(bits.symbol(rest), 16)
+                        if not size:
+                            if run != 15:
+                                break
+                            place += 16
+                            continue
+                        place += run
+                        if place > 63:
+                            raise Damaged("a block with too many coefficients")
+                        own[ZIGZAG[place]] = bits.value(size)
+                        place += 1
+    order, waves, out = np.argsort(ZIGZAG), _waves(), []
+    for grid, (_, h, v, number) in zip(blocks, parts, strict=True):
+        if number not in quant:
+            raise Damaged("a frame without its quantisation table")
+        square = (grid * quant[number][order]).reshape(*grid.shape[:2], 8, 8)
+        plane = (waves.T @ square @ waves).swapaxes(1, 2).reshape(grid.shape[0] * 8, -1)
+        rows, columns = -(-lines * v // down), -(-width * h // across)
+        out.append(np.clip(np.rint(plane + 128), 0, 255).astype(np.uint8)[:rows, :columns])
+    return out
+
+
+def _process(frame: bytes) -> int:
+    """The marker of a frame's coding process; 0 if there is none."""
+    at = 2
+    while at + 4 <= len(frame) and frame[at] == 0xFF and frame[at + 1] != 0xDA:
+        if 0xC0 <= frame[at + 1] <= 0xCF and frame[at + 1] not in (0xC4, 0xC8, 0xCC):
+            return frame[at + 1]
+        at += 2 + struct.unpack_from(">H", frame, at + 2)[0]
+    return 0
+
+
+def read_media(data: bytes) -> tuple[list[np.ndarray], float, str]:
+    """(frames, frames a second, status) of any media: luminance planes of the frames that can be decoded.
+
+    The status is "ok", or says that the file is no AVI file, or how many frames could not be decoded and why the first.
+    """
+    try:
+        coded, rate = riff_frames(data), _layout(data)[2]
+    except (Damaged, struct.error) as error:
+        return [], float(FRAMES_A_SECOND), f"damaged: {error}"
+    frames, lost, why = [], 0, ""
+    for frame in coded:
+        try:
+            frames.append(_decode_frame(frame) if _process(frame) == 0xC3 else baseline_planes(frame)[0])
+        except (Damaged, struct.error, IndexError, KeyError, ValueError) as error:
+            lost, why = lost + 1, why or str(error)
+    return frames, rate, f"damaged: {lost} of {len(coded)} frames, {why}" if lost else "ok"
+
+
 def shots(frames: list[np.ndarray]) -> list[tuple[int, int]]:
     """(first, last) frame of each shot.
 
@@ -304,31 +538,39 @@ def to_media(documents: DataFrame, *, id_column: str = "doc_id", text_column: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(files, pa.binary())], ["doc_id", "media"])
                 at += len(texts)
 
-    return chosen.mapInArrow(encode, "doc_id long, media binary")
+    return chosen.mapInArrow(then_give_back(encode), "doc_id long, media binary")
+
+
+def clip_times(frames: list[np.ndarray], rate: float) -> list[tuple[int, int, float, float]]:
+    """(first frame, last frame, start, end) of each shot, in seconds."""
+    return [(a, b, a / rate, (b + 1) / rate) for a, b in shots(frames)]
 
 
 def clips(media: DataFrame, *, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
-    """(doc_id, clip, first_frame, last_frame, start_s, end_s), a row for each shot of each file; null media have none."""
+    """(doc_id, clip, first_frame, last_frame, start_s, end_s, status), a row for each shot of each file.
+
+    Files are read whole. Null media have no rows. Media without a frame that can be decoded have one row whose clip is
+    null; ``status`` says what is wrong, or "ok". Times follow the file's own frame rate. Repeated rows are read again.
+    """
     ship(media.sparkSession)
-    chosen = media.select(F.col(id_column).cast("long").alias("doc_id"), F.col(media_column).alias("media")).filter("media IS NOT NULL")
+    chosen = media.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{media_column}`").alias("media")).filter("media IS NOT NULL")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
         for batch in batches:
-            ids, at = batch.column(0).to_pylist(), 0
-            for files in _runs(batch.column(1).to_pylist()):
-                rows = [(ids[at + i], n, a, b, a / FRAMES_A_SECOND, (b + 1) / FRAMES_A_SECOND) for i, frames in enumerate(decode_files(files)) for n, (a, b) in enumerate(shots(frames))]
-                at += len(files)
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "clip", "first_frame", "last_frame", "start_s", "end_s"])
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                frames, rate, status = read_media(data.as_py())
+                rows = [(key, n, *times, status) for n, times in enumerate(clip_times(frames, rate))] or [(key, None, None, None, None, None, status)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "clip", "first_frame", "last_frame", "start_s", "end_s", "status"])
 
-    return chosen.mapInArrow(cut, "doc_id long, clip int, first_frame int, last_frame int, start_s double, end_s double")
+    return chosen.mapInArrow(then_give_back(cut), "doc_id long, clip int, first_frame int, last_frame int, start_s double, end_s double, status string")
 
 
 def media_round_trip(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A digest of each text stored as media and read back, in one pass: no file leaves the worker.
 
     Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (number of
-    frames, then the shots as first-last). A null text counts as empty (a payload of 192 spaces). Equal texts get equal
+    frames, then the clips as first-last@start-end in seconds). Texts are stored whole, however long. A null text counts as empty (a payload of 192 spaces). Equal texts get equal
     values, repeated rows stay, an empty table gives an empty result, other columns play no part.
     """
     ship(documents.sparkSession)
@@ -344,10 +586,10 @@ def media_round_trip(documents: DataFrame, *, id_column: str = "doc_id", text_co
                 columns: list[list] = [[] for _ in names[1:]]
                 for text, data, frames in zip(texts, files, decode_files(files), strict=True):
                     back = b"".join(f.tobytes() for f in frames)
-                    feature = f"frames={len(frames)};shots={','.join(f'{a}-{b}' for a, b in shots(frames))}"
+                    feature = f"frames={len(frames)};clips={','.join(f'{a}-{b}@{x:.2f}-{y:.2f}' for a, b, x, y in clip_times(frames, FRAMES_A_SECOND))}"
                     for column, value in zip(columns, (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in columns)], names)
                 at += len(texts)
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(then_give_back(run), schema)
