@@ -1,9 +1,13 @@
 """WARC archives: written by Spark's text writer, read back by length, and assembled to captures.
 
 A capture is a request, a response (or a revisit of an earlier one) and a metadata record. The writer makes every record
-with SQL expressions; a record's last line end is the writer's line separator, so each file is a gzipped WARC file. The
-reader follows Content-Length, never the separator, and computes digests from the bytes it reads. Request and metadata
-name their response in WARC-Concurrent-To; ``assemble`` joins on it and gives one nested row for each capture.
+with SQL expressions; a record's last line end is the writer's line separator, so each file is a gzipped WARC file, whose
+size in bytes is bounded through the largest capture. The reader inflates a file piece by piece, whether it is one gzip
+member, one for each record, or plain, follows Content-Length, never the separator, and computes digests from the bytes
+it reads. What an archive holds after damage is left out; a row of kind "damaged" says what and where.
+
+Request and metadata name the records they belong to in WARC-Concurrent-To, which may be there several times;
+``assemble`` joins on it and gives one nested row for each capture.
 """
 
 from __future__ import annotations
@@ -16,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.cluster import Scratch, ship
+from marginalia.cluster import Scratch, ship, then_give_back
 
-#: Captures in one file; payloads below so many bytes are always stored.
-CAPTURES_A_FILE, LEAST_REVISIT = 4_000, 100
+#: Bytes of captures in one file, but for a larger single one; payloads below so many bytes are always stored; bytes that
+#: are inflated at once; bytes of rows that leave a worker at once.
+FILE_BYTES, LEAST_REVISIT, PIECE, BATCH_BYTES = 64 << 20, 100, 1 << 20, 8 << 20
+#: What a capture's records need besides the payload and two or three urls.
+OVERHEAD = 4_096
 _END = "\r\n"
-RECORD = "record_id string, kind string, target string, date string, concurrent_to string, refers_to string, block_digest string, payload_bytes long, payload_sha256 string, payload binary, fields map<string,string>"
+RECORD = "record_id string, kind string, target string, date string, concurrent_to array<string>, refers_to string, block_digest string, payload_bytes long, payload_sha256 string, payload binary, fields map<string,string>"
 
 
 def _identifier(kind: str, key: Column) -> Column:
@@ -62,78 +69,155 @@ def write_archives(pages: DataFrame, folder: str, *, id_column: str = "page_id",
     about = F.concat(F.when(F.col("page").isNotNull(), F.concat(F.lit("page-id: "), F.col("page").cast("string"), F.lit(_END))).otherwise(F.lit("")), F.lit(f"fetchTimeMs: 0{_END}"))
     metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _identifier("metadata", own)), *common, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))], about)
     whole = F.concat(request, F.lit(_END), F.when(known, revisit).otherwise(stored), F.lit(_END), metadata)
-    page.select(whole.alias("value")).write.mode("overwrite").option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", CAPTURES_A_FILE).text(folder)
+    most = page.agg(F.max(F.col("size") + 4 * F.octet_length("url"))).first()[0] or 0
+    captures = max(1, FILE_BYTES // (most + OVERHEAD))  # as many of the largest as a file may hold
+    page.select(whole.alias("value")).write.mode("overwrite").option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", captures).text(folder)
+
+
+class Damaged(ValueError):
+    """An archive that cannot be read on."""
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The bytes of a gzipped or plain archive, at most PIECE at a time; members follow each other."""
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), PIECE):
+            yield data[at : at + PIECE]
+        return
+    left = memoryview(data)
+    while len(left):
+        stream, at = zlib.decompressobj(31), 0
+        try:
+            while not stream.eof:
+                held = stream.unconsumed_tail or bytes(left[at : at + PIECE])
+                if not stream.unconsumed_tail:
+                    at += len(held)
+                out = stream.decompress(held, PIECE)
+                if out:
+                    yield out
+                if not held and not out and not stream.eof:
+                    raise Damaged("a gzip member that is cut off")
+        except zlib.error as error:
+            raise Damaged(f"a gzip member that is broken ({error})") from error
+        left = left[at - len(stream.unused_data) :]
+
 
+class _Reader:
+    """Bytes of an archive in order, of which only the record that is read is held."""
 
-def _inflated(data: bytes) -> bytes:
-    out = []
-    while data:
-        stream = zlib.decompressobj(31)
-        out.append(stream.decompress(data))
-        data = stream.unused_data
-    return b"".join(out)
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.at = pieces, bytearray(), 0
 
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is None:
+            return False
+        self.held += piece
+        return True
 
-def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of an archive, by Content-Length."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
+    def until(self, mark: bytes) -> bytes | None:
+        """Up to a mark, which is left out; None at the end of the archive."""
+        searched = 0
+        while (found := self.held.find(mark, searched)) < 0:
+            searched = max(0, len(self.held) - len(mark))
+            if not self.more():
+                if self.held.strip():
+                    raise Damaged("a record's header that is cut off")
+                return None
+        out = bytes(self.held[:found])
+        del self.held[: found + len(mark)]
+        self.at += found + len(mark)
+        return out
+
+    def take(self, size: int) -> bytes:
+        while len(self.held) < size:
+            if not self.more():
+                raise Damaged("a record that is cut off")
+        out = bytes(self.held[:size])
+        del self.held[:size]
+        self.at += size
+        return out
+
+
+def records_in(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """Header fields, with all of their values, and block of each record of an archive, by Content-Length."""
+    reader = _Reader(_inflated(data))
+    while (head := reader.until(b"\r\n\r\n")) is not None:
+        lines = head.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-        start = end + 4
-        at = start + int(fields["Content-Length"])
-        yield fields, data[start:at]
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"no end of record at byte {at}")
-        at += 4
+            raise Damaged(f"no record at byte {reader.at}")
+        fields: dict[str, list[str]] = {}
+        for line in lines[1:]:
+            name, _, value = line.partition(":")
+            fields.setdefault(name.strip().lower(), []).append(value.strip())
+        size = fields.get("content-length", [""])[0]
+        if not size.isdigit():
+            raise Damaged(f"a record without a length at byte {reader.at}")
+        block = reader.take(int(size))
+        if reader.take(4) != b"\r\n\r\n":
+            raise Damaged(f"no end of record at byte {reader.at}")
+        yield fields, block
+
+
+def _row(fields: dict[str, list[str]], block: bytes, payloads: bool) -> tuple:
+    one = lambda name: fields.get(name, [None])[0]
+    kind, size, sha, body, about = one("warc-type"), None, None, None, None
+    if kind == "response":
+        _, mark, payload = block.partition(b"\r\n\r\n")
+        payload = payload if mark else block
+        size, sha, body = len(payload), hashlib.sha256(payload).hexdigest(), payload if payloads else None
+        if (said := one("warc-payload-digest")) and said.startswith("sha256:") and said != f"sha256:{sha}":
+            kind = "damaged"
+    elif kind == "metadata":
+        about = [tuple(line.split(": ", 1)) for line in block.decode("utf-8", "replace").split("\r\n") if ": " in line]
+    return one("warc-record-id"), kind, one("warc-target-uri"), one("warc-date"), fields.get("warc-concurrent-to"), one("warc-refers-to"), one("warc-payload-digest"), size, sha, body, about
 
 
 def read_archives(spark: SparkSession, folder: str, *, payloads: bool = True) -> DataFrame:
     """A row for each record (RECORD). ``payload_bytes`` and ``payload_sha256`` are computed from what was read, for
-    responses only; ``payload`` is left null without ``payloads``. ``fields`` holds those of a metadata block."""
+    responses only; ``payload`` is left null without ``payloads``. ``fields`` holds those of a metadata block. A response
+    whose digest does not fit is of kind "damaged", and so is a row for the rest of a file that cannot be read on, whose
+    ``target`` says why."""
     ship(spark)
     files = spark.read.format("binaryFile").load(folder).select("content")
     names = [part.split()[0] for part in RECORD.split(", ")]
-    kinds = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.binary(), pa.map_(pa.string(), pa.string())]
+    kinds = [pa.string()] * 4 + [pa.list_(pa.string())] + [pa.string()] * 2 + [pa.int64(), pa.string(), pa.binary(), pa.map_(pa.string(), pa.string())]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
         for batch in batches:
             for content in batch.column(0):
-                rows: list[tuple] = []
-                for head, block in records_in(_inflated(content.as_py())):
-                    kind, size, sha, body, fields = head["WARC-Type"], None, None, None, None
-                    if kind == "response":
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
-                        size, sha, body = len(payload), hashlib.sha256(payload).hexdigest(), payload if payloads else None
-                        if head.get("WARC-Payload-Digest", f"sha256:{sha}") != f"sha256:{sha}":
-                            raise ValueError(f"digest of {head['WARC-Record-ID']} does not fit its payload")
-                    elif kind == "metadata":
-                        fields = [tuple(line.split(": ", 1)) for line in block.decode().split("\r\n") if ": " in line]
-                    rows.append((head["WARC-Record-ID"], kind, head.get("WARC-Target-URI"), head.get("WARC-Date"), head.get("WARC-Concurrent-To"), head.get("WARC-Refers-To"), head.get("WARC-Payload-Digest"), size, sha, body, fields))
-                    if len(rows) == 2048:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
-                        rows = []
+                rows, held = [], 0
+                try:
+                    for fields, block in records_in(content.as_py()):
+                        rows.append(_row(fields, block, payloads))
+                        held += 500 + len(rows[-1][9] or b"")
+                        if held >= BATCH_BYTES:
+                            yield told(rows)
+                            rows, held = [], 0
+                except Damaged as error:
+                    rows.append((None, "damaged", str(error), *[None] * 8))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+                    yield told(rows)
 
-    return files.mapInArrow(parse, RECORD)
+    return files.mapInArrow(then_give_back(parse), RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One row for each capture: record_id, target, date, response (a struct of the response or revisit), request and
     metadata (structs, null if there is none; with several, the one with the smallest id).
 
-    Request and metadata belong to the record that their concurrent-to identifier names; those that name no response or
-    revisit are left out.
+    Request and metadata belong to the records that their concurrent-to identifiers name, all of them; those that name no
+    response or revisit are left out, and so is what is damaged.
     """
     made = F.struct("record_id", "kind", "refers_to", "block_digest", "payload_bytes", "payload_sha256", "payload")
     main = records.filter(F.col("kind").isin("response", "revisit")).select("record_id", "target", "date", made.alias("response"))
     side = records.filter(F.col("kind").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
     small = F.struct("record_id", "target", "date")
-    parts = side.groupBy(F.col("concurrent_to").alias("_of")).agg(
+    side = side.withColumn("_of", F.explode(F.array_distinct("concurrent_to")))
+    parts = side.groupBy("_of").agg(
         F.min(F.when(F.col("kind") == "request", small)).alias("request"),
         F.min_by(F.struct("record_id", "fields"), F.when(F.col("kind") == "metadata", F.col("record_id"))).alias("metadata"),
     )
@@ -144,7 +228,7 @@ def warc_captures(pages: DataFrame, **columns: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) for each row of ``pages``, from archives that
     are written to the shared folder and read back.
 
-    Size and digest of a revisit come from the response it refers to. Null html is an empty payload; repeated rows come
+    Size and digest of a revisit come from the response it refers to. Pages are stored whole, however long. Null html is an empty payload; repeated rows come
     back as often as they are; a null id is kept as null; an empty table gives an empty result; other columns play no part.
     """
     spark = pages.sparkSession
