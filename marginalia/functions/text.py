@@ -21,11 +21,13 @@ EDGES = " /:;,.="
 LANGUAGES = {"F": "French", "G": "German", "P": "Polish"}
 #: A publisher's family by the first fragment that its name holds.
 FAMILIES = (("harlequin", "Harlequin"), ("cora", "Cora"), ("silhouette", "Silhouette / AWHE"), ("awhe", "Silhouette / AWHE"), ("weltbild", "Weltbild"))
+#: What follows an original title on a shop's page, and quotation marks around it.
+IMPRINT, QUOTES = r"\s+(?:erschienen\s+bei\b|Published by\b|©)", "\"'„“‚‘”’»›«‹"
 #: Tags that are no names.
-NO_NAMES = (
-    "Julia Bianca Tiffany Romana Baccara Historical Mira Cora Extra Exklusiv Band Collection Weekend Edition Saison Special Sommer Winter "
-    "Liebesroman Liebesromane Bestseller Gold Premium Lords Ladies Kiss Serie Ärzte Arzt"
-).split()
+NO_NAMES = [
+    "Julia", "Bianca", "Tiffany", "Romana", "Baccara", "Historical", "Mira", "Cora", "Extra", "Exklusiv", "Band", "Collection", "Weekend", "Edition", "Saison", "Special",
+    "Sommer", "Winter", "Liebesroman", "Liebesromane", "Bestseller", "Gold", "Premium", "Lords", "Ladies", "Kiss", "Serie", "Ärzte", "Arzt",
+]
 
 
 def text_or_empty(s: Column) -> Column:
@@ -34,7 +36,7 @@ def text_or_empty(s: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _composed(s):  # canonical composition has no built-in form
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
 def strip_marks(s: Column, *, compose: bool = True) -> Column:
@@ -47,11 +49,21 @@ def squeeze(s: Column) -> Column:
     return F.trim(F.regexp_replace(text_or_empty(s), r"(?U)\s+", " "))
 
 
-def clean(s: Column, *, compose: bool = False) -> Column:
-    """Marks stripped, white space squeezed, ``/ : ; , . =`` trimmed from both ends."""
+def clean(s: Column, *, compose: bool = True) -> Column:
+    """Marks stripped, canonically composed, white space squeezed, ``/ : ; , . =`` trimmed from both ends."""
     return F.btrim(squeeze(strip_marks(s, compose=compose)), F.lit(EDGES))
 
 
+def clean_part(s: Column) -> Column:
+    """``clean`` for elements of arrays, where no Arrow function runs; the text must be composed already."""
+    return clean(s, compose=False)
+
+
+def composed_record(record: Column, schema: str) -> Column:
+    """A struct with all of its texts canonically composed, in one call for each row."""
+    return F.from_json(_composed(F.to_json(record)), schema)
+
+
 def year_text(s: Column, pattern: str = YEAR) -> Column:
     """The first year from 1800 to 2099 as text; empty if there is none."""
     return F.coalesce(F.regexp_substr(text_or_empty(s), F.lit(pattern)), F.lit(""))
@@ -80,10 +92,13 @@ def _ascii_tables() -> tuple[str, str, dict[str, str]]:
 def to_ascii(s: Column) -> Column:
     """Letters without their marks; characters that have no ASCII form vanish (ł, ß, ø, dashes, curly quotes)."""
     source, target, longer = _ascii_tables()
-    out = text_or_empty(s)
+    text = text_or_empty(s)
+    out = text
     for char, plain in longer.items():
         out = F.replace(out, F.lit(char), F.lit(plain))
-    return F.regexp_replace(F.translate(out, source, target), r"[^\x00-\x7F]", "")
+    # each step only where the text needs it: plain ASCII has as many bytes as characters
+    whole = F.when(text.rlike(f"[{''.join(longer)}]"), out).otherwise(text)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(F.translate(whole, source, target), r"[^\x00-\x7F]+", ""))
 
 
 def fold(s: Column) -> Column:
@@ -119,7 +134,7 @@ def short_title_key(s: Column) -> Column:
 
 def person(name: Column, *, cleaned: bool = True) -> Column:
     """"Last, First" turned round if there is exactly one comma and both parts have text."""
-    n = clean(name) if cleaned else name
+    n = clean_part(name) if cleaned else name
     parts = F.transform(F.split(n, ","), lambda x: F.trim(x))
     whole = (F.size(parts) == 2) & (F.element_at(parts, 1) != "") & (F.try_element_at(parts, F.lit(2)) != "")
     return F.when(whole, F.concat_ws(" ", F.try_element_at(parts, F.lit(2)), F.element_at(parts, 1))).otherwise(n)
@@ -163,9 +178,9 @@ def plausibly_english(t: Column) -> Column:
 
 
 def clean_shop_title(t: Column) -> Column:
-    """Cut at imprint words, quotes stripped, white space squeezed, trailing punctuation trimmed."""
-    cut = F.regexp_replace(text_or_empty(t), r"(?iuU)\s*(?:©|\berschienen\b|\bErstausgabe\b|\bÜbersetzung\b|\bin der Reihe\b).*$", "")
-    return F.rtrim(F.btrim(squeeze(cut), F.lit("\"'„“‚‘”’»›«‹ ")), F.lit(" .,;:|-"))
+    """Cut before "erschienen bei", "Published by" or ©, quotes stripped, white space squeezed, ``. , ;`` trimmed at the end."""
+    cut = F.regexp_replace(text_or_empty(t), f"(?iuUs){IMPRINT}.*$", "")
+    return F.rtrim(F.btrim(squeeze(cut), F.lit(QUOTES + " ")), F.lit(" .,;"))
 
 
 def shop_series(title: Column, tags: Column) -> Column:
@@ -177,8 +192,10 @@ def shop_series(title: Column, tags: Column) -> Column:
 
 
 def product_tags(tags: Column) -> Column:
-    """A comma list as an array, without blanks."""
-    return F.filter(F.transform(F.split(text_or_empty(tags), ","), lambda x: F.trim(x)), lambda x: x != "")
+    """Tags as an array, without blanks: from a comma list, or from a JSON list of strings."""
+    text = F.trim(text_or_empty(tags))
+    listed = F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>"))
+    return F.filter(F.transform(F.coalesce(listed, F.split(text, ",")), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_name_tag(tag: Column) -> Column:
@@ -264,6 +281,11 @@ def price(s: Column) -> Column:
     return F.regexp_replace(F.replace(text_or_empty(s), F.lit(","), F.lit(".")), r"[€$\s]", "").try_cast("double")
 
 
+def price_or_text(s: Column) -> Column:
+    """A price as a number's text; what cannot be read stays as it is."""
+    return F.coalesce(price(s).cast("string"), F.trim(text_or_empty(s)))
+
+
 def unwrapped(s: Column) -> Column:
     """``<The> Title`` without the angle brackets."""
     return F.regexp_replace(text_or_empty(s), "<([^>]*)>", "$1")
@@ -275,6 +297,12 @@ def rotated_name(s: Column) -> Column:
     return F.when(F.element_at(words, -1).rlike(r"\.$") & (F.size(words) > 1), F.concat_ws(" ", F.element_at(words, -1), F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), " "))).otherwise(squeeze(s))
 
 
+def first_word_last(s: Column) -> Column:
+    """A name with its first word moved to the end ("Last F." -> "F. Last"); one word, or none, as it is."""
+    words = F.split(squeeze(s), " ")
+    return F.when(F.size(words) > 1, F.concat_ws(" ", F.array_join(F.slice(words, 2, F.size(words)), " "), F.element_at(words, 1))).otherwise(text_or_empty(s))
+
+
 def distance_bucket(span: Column) -> Column:
     return F.when(span <= 10, "<=10").when(span <= 40, "11-40").otherwise(">40")
 
