@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 #: Words that titles may differ in.
-MINOR = "a an the and of for to in on with s".split()
+MINOR = ["a", "an", "the", "and", "of", "for", "to", "in", "on", "with", "s"]
 #: Fragments of publishers and series of the genre; spellings of a confirming mark.
 ROMANCE = r"(?iu)harlequin|arlekin|silhouette|mira|cora|bastei|kelter|pabel|moewig|zauberkreis|mills|boon|harper\s*collins|j'ai lu|phantom press|awhe|amber|temptation|romance|romans|sonia"
 YES = ("y", "yes", "j", "ja", "x", "1", "true", "ok", "oui", "tak")
@@ -36,8 +37,9 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def _words(key: Column) -> Column:
-    return F.filter(F.split(key, " "), lambda w: (w != "") & ~w.isin(MINOR) & ~w.rlike("^[0-9]+$"))
+def content_words(key: Column) -> Column:
+    """The words of a title key without minor words and numbers, repeats kept."""
+    return F.filter(F.split(key, " "), lambda w: (w != "") & ~w.isin(*MINOR) & ~w.rlike("^[0-9]+$"))
 
 
 def spelling_variant(x: Column, y: Column) -> Column:
@@ -48,9 +50,12 @@ def spelling_variant(x: Column, y: Column) -> Column:
     return (F.substring(x, 1, 1) == F.substring(y, 1, 1)) & F.when(starts, F.abs(F.length(x) - F.length(y)) <= 2).otherwise(near)
 
 
-def compatible(a: Column, b: Column) -> Column:
-    """Whether two title keys can be one book: they may differ in minor words, numbers, spacing and spelling only."""
-    wa, wb = _words(a), _words(b)
+def compatible(a: Column, b: Column, words_a: Column | None = None, words_b: Column | None = None) -> Column:
+    """Whether two title keys can be one book: they may differ in minor words, numbers, spacing and spelling only.
+
+    Not symmetric: each differing word of ``a`` needs a variant among those of ``b``. ``words_a`` and ``words_b`` are
+    their content words, where these are at hand."""
+    wa, wb = content_words(a) if words_a is None else words_a, content_words(b) if words_b is None else words_b
     rest_a, rest_b = F.filter(wa, lambda w: ~F.array_contains(wb, w)), F.filter(wb, lambda w: ~F.array_contains(wa, w))
     joined = F.array_join(wa, "") == F.array_join(wb, "")
     spelled = F.forall(rest_a, lambda x: F.exists(rest_b, lambda y: spelling_variant(x, y)))
@@ -58,6 +63,13 @@ def compatible(a: Column, b: Column) -> Column:
     return F.when(F.replace(a, F.lit(" "), F.lit("")) == F.replace(b, F.lit(" "), F.lit("")), True).otherwise(by_words)
 
 
+def may_be_compatible(words_a: Column, words_b: Column, joined_a: Column, joined_b: Column) -> Column:
+    """A cheap test that every compatible pair passes: the first letters of one title's words are among the other's, or
+    all letters agree. ``joined`` is a key without its spaces, or its content words joined."""
+    initials = lambda words: F.transform(words, lambda w: F.substring(w, 1, 1))
+    return (joined_a == joined_b) | (F.array_join(words_a, "") == F.array_join(words_b, "")) | (F.size(F.array_except(initials(words_a), initials(words_b))) == 0)
+
+
 def contained(a: Column, b: Column) -> Column:
     """Whether the key with fewer words has at least three, at least 60 % of the other's, and stands in it word by word."""
     na, nb = F.size(F.split(a, " ")), F.size(F.split(b, " "))
@@ -71,6 +83,81 @@ def title_score(key: Column, candidate: Column, ratio: Column, threshold: float)
     return F.when(contained(key, candidate), F.greatest(ratio, F.lit(0.95))).when(~compatible(key, candidate), F.least(ratio, F.lit(threshold - 0.001))).otherwise(ratio)
 
 
+def _one_edit(x: str, y: str) -> bool:
+    """Whether two strings whose lengths differ by one at most are within one edit."""
+    head = next((i for i, (c, d) in enumerate(zip(x, y, strict=False)) if c != d), min(len(x), len(y)))
+    return x[head + (len(x) >= len(y)) :] == y[head + (len(y) >= len(x)) :]
+
+
+def _may_be_one(a: str, b: str, wa: list[str], wb: list[str]) -> bool:
+    """``compatible`` for the matcher below, which compares a key with many candidates in one call."""
+    if a.replace(" ", "") == b.replace(" ", ""):
+        return True
+    left, right = [w for w in wa if w not in wb], [w for w in wb if w not in wa]
+    if not wa or not wb or len(left) != len(right):
+        return bool(wa and wb) and "".join(wa) == "".join(wb)
+
+    def variant(x: str, y: str) -> bool:
+        gap = abs(len(x) - len(y))
+        if x[0] != y[0]:
+            return False
+        if x.startswith(y) or y.startswith(x):
+            return gap <= 2
+        return gap <= 1 and min(len(x), len(y)) >= 5 and _one_edit(x, y)
+
+    return all(any(variant(x, y) for y in right) for x in left)
+
+
+class TitleBlock:
+    """Candidate keys of an author, prepared once for many titles: letters counted, words split, matchers built when needed."""
+
+    def __init__(self, keys: list[str]):
+        self.keys, self.matchers = keys, [None] * len(keys)
+        self.words = [self.content(k) for k in keys]
+        self.sizes, self.letters = np.array([len(k) for k in keys]), np.stack([self.count(k) for k in keys])
+
+    @staticmethod
+    def content(key: str) -> list[str]:
+        return [w for w in key.split(" ") if w and w not in MINOR and not w.isdigit()]
+
+    @staticmethod
+    def count(key: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(key.encode("ascii", "replace"), np.uint8), minlength=128)
+
+    def best(self, key: str, threshold: float) -> tuple[int, float]:
+        """(place, score) of the first candidate with the largest score; (-1, 0) if none is above 0.
+
+        No ratio exceeds twice the letters that both keys hold over all letters. Candidates are tried by falling bound,
+        until none that is left can win.
+        """
+        n = key.count(" ") + 1
+        inside = [n >= 3 and self._inside(key, n, other) for other in self.keys]
+        bound = np.maximum(2 * np.minimum(self.count(key), self.letters).sum(1) / np.maximum(self.sizes + len(key), 1), np.where(inside, 0.95, 0.0))
+        at, score, own, capped = -1, 0.0, self.content(key), threshold - 0.001
+        for i in np.argsort(-bound, kind="stable").tolist():
+            if bound[i] < score:
+                break
+            if score > capped and not inside[i] and not _may_be_one(key, self.keys[i], own, self.words[i]):
+                continue
+            if self.matchers[i] is None:
+                self.matchers[i] = difflib.SequenceMatcher(None, "", self.keys[i])
+            self.matchers[i].set_seq1(key)
+            value = self.matchers[i].ratio()
+            if inside[i]:
+                value = max(value, 0.95)
+            elif value > capped and not _may_be_one(key, self.keys[i], own, self.words[i]):
+                value = capped
+            if value > score or value == score > 0 and i < at:
+                at, score = i, value
+        return at, score
+
+    @staticmethod
+    def _inside(key: str, n: int, other: str) -> bool:
+        m = other.count(" ") + 1
+        short, long, few, many = (key, other, n, m) if n <= m else (other, key, m, n)
+        return few >= 3 and few / many >= 0.6 and f" {short} " in f" {long} "
+
+
 def may_be_same_name(a: Column, b: Column, *, shortest: int = 8) -> Column:
     """The tests before the ratio: first letter, length of the wanted name, and lengths at most two apart."""
     return (F.substring(a, 1, 1) == F.substring(b, 1, 1)) & (F.length(a) >= shortest) & (F.abs(F.length(a) - F.length(b)) <= 2)

@@ -1,102 +1,301 @@
 """Linking translated editions to original books.
 
-Exact keys first, as an equi-join; what is left is compared inside the author's block only, after cheap tests, and the
-sequence ratio is computed for these pairs. A prolific author is a hot block: AQE splits its shuffle partitions, and the
-pairs of a block never meet in one group.
+Exact keys first, as an equi-join; what is left is compared inside the author's block only. An author's titles are dealt
+in blocks of at most BLOCK keys, and each distinct title that is left meets each block once. Inside, a bound by counted
+letters decides which candidates can still win, and the sequence ratio is computed for these only. A prolific author
+thus has many small tasks, and no pair of titles is a row.
+
+A run (``link_run``) joins two paths: library records, found under an author of the table, and rows of extra sources,
+whose authors are resolved first. Its results are the tables that reviewers and later steps read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.cluster import Scratch, ship
 from marginalia.functions import similarity as S
 from marginalia.functions import text as T
 from marginalia.operators.ordered import edition_ids, first_per_key, greedy_editions
+from marginalia.sources.marc import works_in_edition
 
 THRESHOLD, MOST_GAP, LEAST_SIMILARITY, SUGGESTIONS = 0.88, 15, 0.75, 3
+#: Candidate keys of an author in a block, and titles that meet it in one place.
+BLOCK, TITLES = 512, 1024
 REVIEW_KEY = ["source_record_id", "suggested_book_id", "language_letter"]
-
-
-def combined_books(*tables: DataFrame) -> DataFrame:
-    """Tables one after another, columns united; of equal ``book_id`` the first in order stays. Adds ``position``."""
-    every, out = [c for t in tables for c in t.columns], None
+# The columns of the output tables.
+EDITION_COLUMNS = (
+    "translation_id book_id language_letter language original_title author translated_title pub_date pub_year publisher place translators series isbn source "
+    "source_record_id original_title_in_record match_score edition_type works_in_edition first_edition first_edition_year original_series"
+).split()
+UNMATCHED_COLUMNS = "author language_letter source source_record_id translated_title pub_year publisher original_title_in_record reason closest_series_title closest_score responsibility".split()
+CANDIDATE_COLUMNS = (
+    "confirm confidence candidate_score reason language_letter language author suggested_book_id suggested_original_title original_pub_date translated_title pub_date pub_year "
+    "years_after_original publisher place translators series isbn title_similarity romance_publisher candidates_for_this_record original_title_in_record responsibility source source_record_id"
+).split()
+#: Language codes of records by letter.
+CODES = {"F": ["fre", "fra"], "G": ["ger", "deu"], "P": ["pol"]}
+
+
+def combined_books(*tables: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Tables one after another, columns united; of equal ``book_id`` the first in order stays. Adds ``position``.
+
+    Rows follow ``order`` (columns that all tables have), else their own ``position``, else the order in which Spark
+    reads them, which is that of the file only for a table of one unsplit file.
+    """
+    every, out = [c for t in tables for c in t.columns if c != "position"], None
     for place, table in enumerate(tables):
-        own = table.withColumn("position", F.lit(place).cast("long") * (1 << 56) + F.monotonically_increasing_id())
-        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+        own = [F.col(c) for c in order] if order else [F.col("position")] if "position" in table.columns else [F.monotonically_increasing_id()]
+        rows = table.withColumn("position", F.struct(F.lit(place).alias("table"), *(c.alias(f"o{i}") for i, c in enumerate(own))))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return first_per_key(out, ["book_id"], ["position"]).select(*dict.fromkeys(every), "position")
 
 
+def authors_of(books: DataFrame) -> DataFrame:
+    """A row for each author of each book: (author, book_id, title, pub_date, position)."""
+    names = F.filter(F.transform(F.split(T.text_or_empty(F.col("authors")), ";"), lambda a: F.trim(a)), lambda a: a != "")
+    return books.select(F.explode(F.array_distinct(names)).alias("author"), "book_id", T.text_or_empty(F.col("title")).alias("title"), "pub_date", "position")
+
+
 def title_index(books: DataFrame) -> DataFrame:
-    """(author, key, book_id, title, pub_date, position): the keys of each author's books.
+    """(author, key, book_id, title, pub_date, position, slot): the keys of each author's books.
 
-    Full titles first; of equal keys the later book wins, but keeps the place of the first. The halves of "A: B" titles
-    of at least two words are added where their key is free; there the first book wins.
+    Of equal full titles the later book wins. The two halves of an "A: B" title with at least two words are added where
+    their key is not that of a full title; there the first book wins. A key stands where it was first
+    met: at a book's position, as its full title (slot 0) or a half.
     """
-    author = F.explode(F.split(F.coalesce("authors", F.lit("")), r";\s*")).alias("name")
-    rows = books.select(author, "book_id", "title", "pub_date", "position").withColumn("author", T.fold(F.col("name"))).filter("author <> ''")
-    whole = rows.withColumn("key", T.title_key(F.col("title"))).filter("key <> ''")
-    book = F.struct("book_id", "title", "pub_date")
-    full = whole.groupBy("author", "key").agg(F.max_by(book, "position").alias("b"), F.min("position").alias("position"))
-    halves = rows.withColumn("half", F.explode(F.when(F.contains("title", F.lit(":")), F.split("title", r"\s*:\s*")).otherwise(F.array().cast("array<string>"))))
-    halves = halves.withColumn("key", T.title_key(F.col("half"))).filter(F.size(F.split("key", " ")) >= 2)
-    parts = halves.groupBy("author", "key").agg(F.min_by(book, "position").alias("b"), F.min("position").alias("position")).join(full, ["author", "key"], "left_anti")
-    return full.unionByName(parts).select("author", "key", "b.book_id", "b.title", "b.pub_date", "position")
+    rows = authors_of(books)
+    halves = F.when(F.contains("title", F.lit(":")), F.split("title", ":", 2)).otherwise(F.array().cast("array<string>"))
+    each = rows.select("author", "book_id", "title", "pub_date", "position", F.posexplode(F.concat(F.array("title"), halves)).alias("slot", "part")).withColumn("key", T.title_key(F.col("part")))
+    each = each.filter((F.col("key") != "") & ((F.col("slot") == 0) | (F.size(F.split("key", " ")) >= 2)))
+    book, met = F.struct("book_id", "title", "pub_date"), F.struct("position", "slot")
+    full = F.max_by(F.when(F.col("slot") == 0, book), F.when(F.col("slot") == 0, F.col("position")))
+    found = each.groupBy("author", "key").agg(F.coalesce(full, F.min_by(book, met)).alias("b"), F.min(met).alias("met"))
+    return found.select("author", "key", "b.book_id", "b.title", "b.pub_date", "met.position", "met.slot")
 
 
 def resolved_authors(names: DataFrame, authors: DataFrame, *, shortest: int = 8, least: float = 0.92) -> DataFrame:
-    """(name, author): the author with the same folded name, else the first in order that is almost the same.
+    """(name, author): the first author in order with the same folded name, else the first that is almost the same.
 
-    ``names`` has ``name``; ``authors`` has (author, position). Names are compared inside their first letter.
+    ``names`` has ``name``, "Last, First" or plain; ``authors`` has (author, position). Names are compared inside their
+    first letter.
     """
-    wanted = names.select("name").distinct().withColumn("folded", T.fold(F.col("name"))).filter("folded <> ''")
-    known = authors.groupBy("author").agg(F.min("position").alias("position"))
-    exact = wanted.join(known, wanted["folded"] == known["author"]).select("name", "author")
-    rest = wanted.join(known.select(F.col("author").alias("folded")), "folded", "left_anti").withColumn("letter", F.substring("folded", 1, 1))
-    near = rest.join(known.withColumn("letter", F.substring("author", 1, 1)), "letter").filter(S.may_be_same_name(F.col("folded"), F.col("author"), shortest=shortest))
-    near = near.withColumn("ratio", S.sequence_ratio("folded", "author")).filter(F.col("ratio") >= least)
+    wanted = names.select("name").distinct().withColumn("folded", T.fold(T.person(F.col("name")))).filter("folded <> ''")
+    known = authors.withColumn("known", T.fold(F.col("author"))).filter("known <> ''").groupBy("known").agg(F.min_by("author", "position").alias("author"), F.min("position").alias("position"))
+    exact = wanted.join(known, wanted["folded"] == known["known"]).select("name", "author")
+    rest = wanted.join(known.select(F.col("known").alias("folded")), "folded", "left_anti").withColumn("letter", F.substring("folded", 1, 1))
+    near = rest.join(known.withColumn("letter", F.substring("known", 1, 1)), "letter").filter(S.may_be_same_name(F.col("folded"), F.col("known"), shortest=shortest))
+    near = near.withColumn("ratio", S.sequence_ratio("folded", "known")).filter(F.col("ratio") >= least)
     return exact.unionByName(near.groupBy("name").agg(F.min_by("author", "position").alias("author")))
 
 
+_SCORED = "author string, key string, block int, at int, score double"
+
+
+def _matched_in_blocks(threshold: float):
+    """For rows (author, block, salt, title or null, keys or null), sorted so that a block's keys come before its titles:
+    the best candidate of each title in the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for author, number, _, title, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if title is None:
+                    block = S.TitleBlock(keys)
+                    continue
+                at, score = block.best(title, threshold)
+                for column, value in zip(out, (author, title, number, at, score), strict=True):
+                    column.append(value)
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["author", "key", "block", "at", "score"])
+
+    return run
+
+
+def closest_titles(titles: DataFrame, index: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """(author, key, score, book_id, guess) for distinct (author, key): the first candidate in order with the largest score."""
+    place = F.row_number().over(Window.partitionBy("author").orderBy("position", "slot")) - 1
+    numbered = index.withColumn("n", place).select("author", F.floor(F.col("n") / BLOCK).cast("int").alias("block"), (F.col("n") % BLOCK).cast("int").alias("at"), F.col("key").alias("candidate"), "book_id", F.col("title").alias("guess"))
+    asked = titles.select("author", "key").distinct()
+    # an author's many titles are spread over salts, and each of them gets the author's blocks
+    sizes = asked.groupBy("author").agg(F.ceil(F.count(F.lit(1)) / TITLES).cast("int").alias("salts"))
+    blocks = numbered.groupBy("author", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "candidate"))), lambda x: x["candidate"]).alias("keys")).join(sizes, "author")
+    blocks = blocks.select("author", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("string").alias("title"), "keys")
+    spread = sizes.join(numbered.groupBy("author").agg(F.max("block").alias("last")), "author")
+    met = asked.join(spread, "author").select("author", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), F.col("key").alias("title"), F.lit(None).cast("array<string>").alias("keys"))
+    both = blocks.unionByName(met).repartition("author", "block", "salt").sortWithinPartitions("author", "block", "salt", F.col("title").asc_nulls_first())
+    scored = both.mapInArrow(_matched_in_blocks(threshold), _SCORED).filter("at >= 0")
+    best = scored.groupBy("author", "key").agg(F.min(F.struct((-F.col("score")).alias("less"), "block", "at")).alias("b")).select("author", "key", (-F.col("b.less")).alias("score"), "b.block", "b.at")
+    return best.join(numbered, ["author", "block", "at"]).select("author", "key", "score", "book_id", "guess")
+
+
 def best_titles(titles: DataFrame, index: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """(record, author, book_id, score, guess): the best book of each record and author.
 
-    ``titles`` has (record, author, title, place). The first title by place that is exact wins with score 1, unless it
-    has none; else the first strict maximum over titles and candidates in order. ``book_id`` is null below
-    ``threshold``; ``guess`` and ``score`` are there anyway.
+    ``titles`` has (record, author, title, place). The first title by place that is exact wins with score 1; where none
+    is, the first strict maximum over titles and candidates in order. ``book_id`` is null below ``threshold``; ``guess``
+    and ``score`` are there anyway.
     """
     keyed = titles.withColumn("key", T.title_key(F.col("title"))).filter("key <> ''").select("record", "author", "place", "key")
-    books = index.select("author", F.col("key").alias("candidate"), "book_id", F.col("title").alias("guess"), "position")
-    exact = keyed.join(books, (keyed["author"] == books["author"]) & (keyed["key"] == books["candidate"])).select("record", keyed["author"], "place", "book_id", "guess")
-    exact = exact.groupBy("record", "author").agg(F.min_by(F.struct("book_id", "guess"), "place").alias("b")).select("record", "author", "b.book_id", F.lit(1.0).alias("score"), "b.guess")
+    books = index.select("author", "key", "book_id", F.col("title").alias("guess"))
+    exact = keyed.join(books, ["author", "key"]).groupBy("record", "author").agg(F.min_by(F.struct("book_id", "guess"), "place").alias("b")).select("record", "author", "b.book_id", F.lit(1.0).alias("score"), "b.guess")
     left = keyed.join(exact.select("record", "author"), ["record", "author"], "left_anti")
-    pairs = left.join(books, "author").withColumn("score", S.title_score(F.col("key"), F.col("candidate"), S.sequence_ratio("key", "candidate"), threshold))
-    order = Window.partitionBy("record", "author").orderBy(F.desc("score"), "place", "position", "candidate")
-    best = pairs.filter("score > 0").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    fuzzy = best.select("record", "author", F.when(F.col("score") >= threshold, F.col("book_id")).alias("book_id"), F.round("score", 3).alias("score"), "guess")
+    near = left.join(closest_titles(left, index, threshold=threshold), ["author", "key"])
+    best = near.groupBy("record", "author").agg(F.min_by(F.struct("score", "book_id", "guess"), F.struct((-F.col("score")).alias("less"), "place")).alias("b"))
+    fuzzy = best.select("record", "author", F.when(F.col("b.score") >= threshold, F.col("b.book_id")).alias("book_id"), F.round("b.score", 3).alias("score"), "b.guess")
     return exact.unionByName(fuzzy)
 
 
-def link_editions(editions: DataFrame, books: DataFrame, *, threshold: float = THRESHOLD) -> dict[str, DataFrame]:
-    """The tables of a linkage run: ``links``, ``unmatched`` and ``to_resolve``.
+def link_editions(editions: DataFrame, books: DataFrame, *, threshold: float = THRESHOLD, mismatch: str = "title mismatch", scratch: Scratch | None = None) -> dict[str, DataFrame]:
+    """The tables of a linkage: ``matched``, ``links``, ``unmatched`` and ``to_resolve``.
+
+    ``editions`` has record, position, authors (array of names), original_titles (array), language_letter, pub_year,
+    isbn, source_record_id and more; ``books`` comes from ``combined_books``. Names are resolved, unless ``author``
+    gives the table's author already; each is matched by itself, and the largest score wins, on a tie the first name.
+    Links are de-duplicated in order of arrival (by record, and by ISBN unless ``library`` marks the row) and get
+    letters. What was matched is written once; the other tables read it.
 
-    ``editions`` has record, position, authors (array), original_titles (array), language_letter, pub_year, isbn,
-    source_record_id and more; ``books`` comes from ``combined_books``. Each name of a record is resolved and matched by
-    itself; the largest score wins, on a tie the first name. Links are de-duplicated in order of arrival and get letters.
+    Records without any author of the table are not "unmatched"; those that name a title and an author are "to resolve".
     """
-    index = title_index(books)
-    known = index.select("author", "position")
-    names = editions.select("record", F.posexplode("authors").alias("at", "name"))
-    found = names.join(resolved_authors(names, known), "name").select("record", "at", "author")
-    titles = editions.select("record", F.posexplode("original_titles").alias("place", "title"))
+    ship(editions.sparkSession)
+    scratch = scratch or Scratch(editions.sparkSession, "linkage")
+    index = scratch.table(title_index(books), "index")
+    rows = editions if "author" in editions.columns else editions.withColumn("author", F.lit(None).cast("string"))
+    rows = scratch.table(rows if "library" in rows.columns else rows.withColumn("library", F.lit(False)), "editions")
+    names = rows.filter("author IS NULL").select("record", F.posexplode("authors").alias("at", "name"))
+    known = authors_of(books).groupBy("author").agg(F.min("position").alias("position"))
+    found = names.join(resolved_authors(names, known), "name").groupBy("record", "author").agg(F.min("at").alias("at"))
+    found = scratch.table(found.select("record", "at", "author").unionByName(rows.filter("author IS NOT NULL").select("record", F.lit(0).alias("at"), "author")), "found")
+    titles = rows.select("record", F.posexplode("original_titles").alias("place", "title"))
     matched = best_titles(found.join(titles, "record").select("record", "author", "title", "place"), index, threshold=threshold)
-    ranked = found.join(matched, ["record", "author"], "left").withColumn("_n", F.row_number().over(Window.partitionBy("record").orderBy(F.desc_nulls_last("score"), "at"))).filter("_n = 1").drop("_n", "at")
-    out = editions.join(ranked, "record", "left")
-    has_title = F.exists("original_titles", lambda t: T.title_key(t) != "")
-    reason = F.when(F.col("author").isNull(), "author not in table").when(~has_title, "no original title in record").otherwise("title mismatch")
-    linked = greedy_editions(out.filter("book_id IS NOT NULL"), ["book_id", "language_letter"], "position", "source_record_id", "isbn")
-    open_ = out.filter("book_id IS NULL").withColumn("reason", reason)
-    return {"links": edition_ids(linked), "unmatched": open_.filter("author IS NOT NULL"), "to_resolve": open_.filter(has_title)}
+    ranked = found.withColumnRenamed("author", "resolved").join(matched.withColumnRenamed("author", "resolved"), ["record", "resolved"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    first = ranked.groupBy("record").agg(F.min("at").alias("at"), F.min_by(F.struct("resolved", "book_id", "score", "guess"), F.struct(F.col("book_id").isNull().alias("none"), (-F.col("score")).alias("less"), "at")).alias("b"), F.min_by("resolved", "at").alias("first_author"))
+    out = rows.drop("author").join(first.select("record", F.col("b.resolved").alias("author"), "b.book_id", "b.score", F.coalesce("b.guess", F.lit("")).alias("guess"), "first_author"), "record", "left")
+    out = scratch.table(out, "matched")
+    titled = F.size("original_titles") > 0
+    linked = greedy_editions(out.filter("book_id IS NOT NULL"), ["book_id", "language_letter"], "position", "source_record_id", "isbn", by_isbn=~F.col("library"))
+    open_ = out.filter("book_id IS NULL")
+    unmatched = open_.filter("author IS NOT NULL").withColumn("reason", F.when(titled, mismatch).otherwise("no original title in record"))
+    named = open_.filter(titled & (F.col("first_author").isNotNull() | (F.size("authors") > 0)))
+    resolve = named.withColumn("reason", F.when(F.col("first_author").isNotNull(), "title not in table").otherwise("author not in table")).withColumn("author", F.coalesce("first_author", F.get("authors", F.lit(0))))
+    return {"index": index, "matched": out, "links": edition_ids(linked), "unmatched": unmatched, "to_resolve": resolve.withColumn("original_title", F.element_at("original_titles", 1))}
+
+
+def library_records(records: DataFrame, langs: tuple[str, ...] = ("F", "G", "P")) -> DataFrame:
+    """Parsed records found under (author, language_letter), as editions: of a wanted language, translated from English."""
+    codes = F.coalesce(*(F.when(F.col("language_letter") == k, F.array(*map(F.lit, CODES[k]))) for k in langs))
+    wanted = (F.size("langs") == 0) | F.coalesce(F.arrays_overlap("langs", codes), F.lit(False))
+    english = (T.text_or_empty(F.col("orig_lang")) == "") | F.contains("orig_lang", F.lit("eng"))
+    rows = records.filter(F.col("language_letter").isin(*langs) & wanted & english)
+    return rows.withColumnRenamed("record_id", "source_record_id").withColumns({"authors": F.array("author"), "library": F.lit(True), "stories": F.lit(0)})
+
+
+def extra_records(*tables: DataFrame, langs: tuple[str, ...] = ("F", "G", "P")) -> DataFrame:
+    """Rows of the interchange format as editions, file by file. A file's rows follow its ``position``, else the order read.
+
+    ``stories`` counts the rows of a record in its file, before languages are chosen.
+    """
+    out = None
+    for place, table in enumerate(tables):
+        filled = lambda c, t=table: T.text_or_empty(F.col(c)) if c in t.columns else F.lit("")
+        own = F.col("position") if "position" in table.columns else F.monotonically_increasing_id()
+        names = F.filter(F.transform(F.split(filled("authors"), ";"), lambda a: F.trim(a)), lambda a: a != "")
+        title = T.clean(filled("original_title"))
+        keep = "pub_date publisher place series isbn source original_series first_edition first_edition_year".split()
+        rows = table.select(
+            F.struct(F.lit(place).alias("table"), own.cast("long").alias("row")).alias("position"), F.upper(F.trim(filled("language_letter"))).alias("language_letter"), filled("source_record_id").alias("source_record_id"), names.alias("authors"),
+            F.when(filled("original_title") != "", F.array(title)).otherwise(F.array().cast("array<string>")).alias("original_titles"), T.clean(filled("translated_title")).alias("translated_title"),
+            T.translator_list(filled("translators")).alias("translators"), filled("copyright").alias("responsibility"), *(filled(c).alias(c) for c in keep), T.year_text(filled("pub_date")).alias("pub_year"),
+        )
+        rows = rows.withColumn("stories", F.count(F.lit(1)).over(Window.partitionBy("source_record_id")).cast("int")).filter(F.col("language_letter").isin(*langs))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumns({"library": F.lit(False), "author": F.lit(None).cast("string")})
+
+
+def link_run(books: DataFrame, *, library: DataFrame | None = None, extras: tuple[DataFrame, ...] = (), previous: DataFrame | None = None, langs: tuple[str, ...] = ("F", "G", "P"), threshold: float = THRESHOLD, most_gap: int = MOST_GAP, least: float = LEAST_SIMILARITY, top: int = SUGGESTIONS) -> dict[str, DataFrame]:
+    """A whole run: ``editions``, ``merged``, ``unmatched``, ``candidates``, ``to_resolve`` and ``tallies``.
+
+    Library records come first, then the extra sources in order, then what reviewers confirmed in ``previous``
+    candidates. Editions stand in the order of their books, then by language and id.
+    """
+    spark = books.sparkSession
+    scratch = Scratch(spark, "linkage")
+    books = scratch.table(books, "books")
+    parts = []
+    if library is not None:
+        own = library_records(library, langs)
+        parts.append(own.withColumn("position", F.struct(F.lit(-1).alias("table"), F.col("position").cast("long").alias("row"))))
+    if extras:
+        parts.append(extra_records(*extras, langs=langs))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    texts = "translated_title translators responsibility pub_date pub_year publisher place series isbn source original_series first_edition first_edition_year".split()
+    rows = rows.withColumns({c: T.text_or_empty(F.col(c)) if c in rows.columns else F.lit("") for c in texts}).withColumn("record", F.struct("position", "source_record_id"))
+    tables = link_editions(rows, books, threshold=threshold, mismatch="title did not match", scratch=scratch)
+    in_record = F.array_join("original_titles", " | ")
+    review = suggestions(tables["unmatched"], tables["index"], most_gap=most_gap, least=least, top=top, books=books)
+    review = review.select(*(review_columns()[c].alias(c) for c in CANDIDATE_COLUMNS))
+    if previous is not None:
+        review = carry_marks(review, previous.select(*CANDIDATE_COLUMNS))
+    review = scratch.table(review, "candidates")
+    linked = tables["links"].drop("translation_id").withColumns({"match_score": F.col("score").cast("string"), "original_title": F.col("guess"), "original_title_in_record": in_record})
+    human = confirmed_editions(review)
+    human = human.withColumns({"position": F.struct(F.lit(1 << 30).alias("table"), F.monotonically_increasing_id().alias("row")), "stories": F.lit(0)})
+    both = linked.unionByName(human.select(*human.columns), allowMissingColumns=True).withColumns({"library": F.lit(True), "_none": F.lit("")})
+    kept = edition_ids(greedy_editions(both, ["book_id", "language_letter"], "position", "source_record_id", "_none"), letter_first=True)
+    works = works_in_edition(F.col("original_titles"), F.coalesce("stories", F.lit(0)))
+    kept = kept.withColumns({"language": T.language_name(F.col("language_letter")), "works_in_edition": works.cast("string"), "edition_type": F.when(works > 1, "anthology").otherwise("single")})
+    editions = kept.select(*(T.text_or_empty(F.col(c)).alias(c) for c in EDITION_COLUMNS)).join(books.select("book_id", F.col("position").alias("_position")), "book_id", "left")
+    editions = scratch.table(editions.select(*EDITION_COLUMNS, "_position"), "editions_out")
+    unmatched = tables["unmatched"].select(*(c for c in UNMATCHED_COLUMNS if c not in ("original_title_in_record", "closest_series_title", "closest_score")), in_record.alias("original_title_in_record"), F.col("guess").alias("closest_series_title"), F.col("score").alias("closest_score")).select(*UNMATCHED_COLUMNS)
+    return {
+        "editions": editions.orderBy(F.col("_position").asc_nulls_last(), "language_letter", "translation_id").drop("_position"),
+        "merged": merged_table(books.drop("position"), editions.drop("_position")),
+        "unmatched": unmatched.orderBy("author", "language_letter", F.desc("closest_score")),
+        "candidates": review.orderBy("author", "language_letter", F.desc("candidate_score")),
+        "to_resolve": originals_to_resolve(tables["to_resolve"]),
+        "tallies": run_tallies(tables["matched"], editions, review),
+    }
+
+
+def review_columns() -> dict[str, Column]:
+    """The columns of a review table by name, from rows of ``suggestions``."""
+    plain = {c: F.col(c) for c in CANDIDATE_COLUMNS}
+    return plain | {
+        "language": T.language_name(F.col("language_letter")), "years_after_original": F.coalesce(F.col("years_after_original").cast("string"), F.lit("")), "title_similarity": F.round("title_similarity", 3),
+        "romance_publisher": F.when(F.col("romance_publisher"), "yes").otherwise(""), "original_title_in_record": F.array_join("original_titles", " | "),
+    }
+
+
+def confirmed_editions(review: DataFrame) -> DataFrame:
+    """Rows that a reviewer confirmed, as editions with the score "manual"."""
+    yes = review.filter(S.is_yes(F.col("confirm")))
+    titles = F.filter(F.split(T.text_or_empty(F.col("original_title_in_record")), r" \| "), lambda t: t != "")
+    keep = "language_letter author translated_title pub_date pub_year publisher place translators series isbn source source_record_id original_title_in_record".split()
+    return yes.select(*keep, F.col("suggested_book_id").alias("book_id"), F.col("suggested_original_title").alias("original_title"), F.lit("manual").alias("match_score"), titles.alias("original_titles"))
+
+
+def run_tallies(matched: DataFrame, editions: DataFrame, review: DataFrame) -> DataFrame:
+    """(kind, key, n): what a run counted, by language, author, confidence and outcome."""
+    tally = lambda frame, kind, key: frame.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "key", "n")
+    per_author = F.concat_ws(" ", "author", "language_letter")
+    known = matched.filter("author IS NOT NULL")
+    parts = [
+        tally(editions, "editions by language", F.col("language")), tally(review, "candidates by confidence", F.col("confidence")), tally(known, "records by author", per_author),
+        tally(known.filter(F.size("original_titles") > 0), "with original title by author", per_author), tally(known.filter("book_id IS NOT NULL"), "matched by author", per_author),
+        tally(matched, "outcome", F.when(F.col("book_id").isNotNull(), "matched").when(F.col("author").isNull(), "author not in table").when(F.size("original_titles") > 0, "title did not match").otherwise("no original title in record")),
+        tally(review.filter(S.is_yes(F.col("confirm"))), "outcome", F.lit("confirmed by hand")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def originals_to_resolve(rows: DataFrame) -> DataFrame:
@@ -115,27 +314,38 @@ def candidate_scores(titled: Column, similarity: Column, gap: Column, romance: C
     return F.when(titled, 0.7 + 0.3 * similarity).otherwise(F.least(hints, F.lit(0.69)))
 
 
-def suggestions(unmatched: DataFrame, index: DataFrame, *, most_gap: int = MOST_GAP, least: float = LEAST_SIMILARITY, top: int = SUGGESTIONS) -> DataFrame:
+def suggestions(unmatched: DataFrame, index: DataFrame, *, most_gap: int = MOST_GAP, least: float = LEAST_SIMILARITY, top: int = SUGGESTIONS, books: DataFrame | None = None) -> DataFrame:
     """At most ``top`` scored books for each unmatched record, from its author's books.
 
-    Titled records need a compatible title of at least ``least`` similarity. A known gap of years must lie between 0 and
-    ``most_gap``; an unknown one passes. Confidence counts all candidates, before the cut.
+    Titled records need a compatible title and a similarity of at least ``least``; these tests run on distinct keys, and
+    the ratio only for books that pass the others. A known gap of years must lie between 0 and ``most_gap``; an unknown
+    one passes. Confidence counts all candidates, before the cut.
     """
-    books = first_per_key(index, ["author", "book_id"], ["position"]).select("author", F.col("book_id").alias("suggested_book_id"), F.col("title").alias("suggested_original_title"), F.col("pub_date").alias("original_pub_date"), "position")
-    books = books.withColumn("_alone", F.count(F.lit(1)).over(Window.partitionBy("author")) == 1)
-    pairs = unmatched.drop("position", "book_id", "score", "guess").join(books, "author")
-    titles = pairs.select("record", "suggested_book_id", "suggested_original_title", F.explode("original_titles").alias("t")).withColumn("a", T.title_key(F.col("t"))).withColumn("b", T.title_key(F.col("suggested_original_title")))
-    compared = titles.withColumn("s", S.sequence_ratio("a", "b")).groupBy("record", "suggested_book_id").agg(F.max("s").alias("title_similarity"), F.bool_or(S.compatible(F.col("a"), F.col("b"))).alias("_fits"))
-    pairs = pairs.join(compared, ["record", "suggested_book_id"], "left").withColumn("title_similarity", F.coalesce("title_similarity", F.lit(0.0)))
-    titled = F.size("original_titles") > 0
+    rows = index if books is None else authors_of(books)
+    own = first_per_key(rows, ["author", "book_id"], ["position"]).select("author", F.col("book_id").alias("suggested_book_id"), F.col("title").alias("suggested_original_title"), F.col("pub_date").alias("original_pub_date"), "position")
+    own = own.withColumn("_alone", F.count(F.lit(1)).over(Window.partitionBy("author")) == 1).withColumn("_b", T.title_key(F.col("suggested_original_title")))
+    open_ = unmatched.drop("position", "book_id", "score", "guess")
     gap = F.col("pub_year").try_cast("int") - T.year_of(F.col("original_pub_date"))
-    pairs = pairs.withColumn("years_after_original", gap).filter((~titled | (F.col("_fits") & (F.col("title_similarity") >= least))) & F.coalesce(F.col("years_after_original").between(0, most_gap), F.lit(True)))
+    in_time = F.coalesce(gap.between(0, most_gap), F.lit(True))
+    titled = F.size("original_titles") > 0
+    years = open_.select("record", "author", "pub_year", "original_titles")
+    # distinct keys of an author's titles and of its books: compatible ones, by cheap tests first
+    asked = years.filter(titled).select("record", "author", "pub_year", F.explode(F.array_distinct("original_titles")).alias("t")).withColumn("_a", T.title_key(F.col("t")))
+    left = asked.select("author", "_a").distinct().withColumns({"_wa": S.content_words(F.col("_a")), "_ja": F.replace("_a", F.lit(" "), F.lit(""))})
+    right = own.select("author", "_b").distinct().withColumns({"_wb": S.content_words(F.col("_b")), "_jb": F.replace("_b", F.lit(" "), F.lit(""))})
+    fits = left.join(right, "author").filter(S.may_be_compatible(F.col("_wa"), F.col("_wb"), F.col("_ja"), F.col("_jb"))).filter(S.compatible(F.col("_a"), F.col("_b"), F.col("_wa"), F.col("_wb"))).select("author", "_a", "_b")
+    pairs = asked.join(fits, ["author", "_a"]).join(own.select("author", "_b", "suggested_book_id", "original_pub_date"), ["author", "_b"]).filter(in_time).select("record", "author", "suggested_book_id", "_b").distinct()
+    compared = pairs.join(asked.select("record", "_a").distinct(), "record").select("record", "suggested_book_id", "_a", "_b")
+    ratios = compared.select("_a", "_b").distinct().withColumn("s", S.sequence_ratio("_a", "_b"))
+    similar = compared.join(ratios, ["_a", "_b"]).groupBy("record", "suggested_book_id").agg(F.max("s").alias("title_similarity")).filter(F.col("title_similarity") >= least)
+    untitled = years.filter(~titled).join(own.select("author", "suggested_book_id", "original_pub_date"), "author").filter(in_time).select("record", "suggested_book_id", F.lit(0.0).alias("title_similarity"))
+    pairs = open_.join(similar.unionByName(untitled), "record").join(own, ["author", "suggested_book_id"]).withColumn("years_after_original", gap)
     pairs = pairs.withColumn("romance_publisher", S.is_romance(F.col("publisher"), F.col("series")))
     score = candidate_scores(titled, F.col("title_similarity"), F.col("years_after_original"), F.col("romance_publisher"), F.col("_alone"), most_gap=most_gap)
     pairs = pairs.withColumn("candidate_score", F.round(score, 3)).withColumn("candidates_for_this_record", F.count(F.lit(1)).over(Window.partitionBy("record")))
     confidence = F.when(F.col("candidate_score") >= 0.7, "high").when((F.col("candidate_score") >= 0.5) & (F.col("candidates_for_this_record") <= 2), "medium").otherwise("low")
-    order = Window.partitionBy("record").orderBy(F.desc("candidate_score"), "position")
-    return pairs.withColumn("confidence", confidence).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= top).drop("_n", "_alone", "_fits", "position").withColumn("confirm", F.lit(""))
+    order = Window.partitionBy("record").orderBy(F.desc("candidate_score"), "position", "suggested_book_id")
+    return pairs.withColumn("confidence", confidence).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= top).drop("_n", "_alone", "_b", "position").withColumn("confirm", F.lit(""))
 
 
 def carry_marks(new: DataFrame, old: DataFrame, keys: list[str] | None = None, marks: tuple[str, ...] = ("confirm",), *, keep_confirmed: bool = True) -> DataFrame:
@@ -163,9 +373,9 @@ def resolve_titles(wanted: DataFrame, hits: DataFrame, *, houses: list[str], lea
     between "found" and "other publisher"; of equal works the first stays.
     """
     docs = wanted.join(hits, "key").select("key", "author", "title", F.posexplode("docs").alias("rank", "doc"))
-    fits = docs.filter(S.compatible(T.title_key(F.col("title")), T.title_key(F.col("doc.title"))))
+    fits = docs.filter(S.compatible(T.title_key(F.col("doc.title")), T.title_key(F.col("title"))))
     names = fits.select("key", "rank", "author", "doc", F.explode("doc.authors").alias("name")).withColumn("a", T.fold(F.col("author"))).withColumn("b", T.fold(F.col("name")))
-    agreed = names.filter((F.col("a") == F.col("b")) | (S.sequence_ratio("a", "b") >= least))
+    agreed = names.filter((F.col("a") == F.col("b")) | (S.sequence_ratio("b", "a") >= least))
     first = agreed.groupBy("key").agg(F.min_by("doc", "rank").alias("doc"))
     out = wanted.join(first, "key", "left").withColumn("outcome", F.when(F.col("doc").isNull(), "not found").when(S.listed_publisher(F.col("doc.publishers"), houses), "found").otherwise("other publisher"))
     found = out.filter("outcome = 'found'").withColumn("_w", F.col("doc.work_id"))

@@ -18,25 +18,34 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[Column | str], *
     return rows.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
 
 
-def edition_ids(editions: DataFrame, book: str = "book_id", language: str = "language_letter", year: str = "pub_year", record: str = "source_record_id") -> DataFrame:
-    """Adds ``translation_id``: book, language and, where a book has several editions in it, a letter by (year or 9999, record)."""
+def edition_ids(editions: DataFrame, book: str = "book_id", language: str = "language_letter", year: str = "pub_year", record: str = "source_record_id", *, letter_first: bool = False) -> DataFrame:
+    """Adds ``translation_id``: book, language and, where a book has several editions in it, a letter by (year or 9999,
+    record): "12_G", "12_Ga"; with ``letter_first`` the letter stands before the language: "12a_G"."""
     group = Window.partitionBy(book, language)
     place = F.row_number().over(group.orderBy(T.first_filled(F.col(year), F.lit("9999")), F.coalesce(F.col(record), F.lit(""))))
-    many = F.count(F.lit(1)).over(group) > 1
-    return editions.withColumn("translation_id", F.concat(F.concat_ws("_", book, language), F.when(many, T.letters(place - 1)).otherwise("")))
+    letter = F.when(F.count(F.lit(1)).over(group) > 1, T.letters(place - 1)).otherwise("")
+    first, second = F.col(book).cast("string"), F.concat(F.lit("_"), F.col(language).cast("string"))
+    return editions.withColumn("translation_id", F.concat(first, letter, second) if letter_first else F.concat(first, second, letter))
 
 
-def greedy_editions(rows: DataFrame, keys: list[str], order: str, record: str, isbn: str, *, by_isbn: bool = True) -> DataFrame:
+def greedy_editions(rows: DataFrame, keys: list[str], order: str, record: str, isbn: str, *, by_isbn: bool | Column = True) -> DataFrame:
     """Keep a row unless a kept one before it in its group has its record id or, with ``by_isbn``, its non-blank ISBN.
 
-    Rows of a group are few (editions of one book in one language), so they are folded as an array in arrival order.
+    ``by_isbn`` may be a condition on the row that arrives. Only rows that share a record id or an ISBN with another of
+    their group are folded, as an array in arrival order; all others stay anyway.
     """
-    packed = F.struct(F.col(order).alias("o"), F.struct(*rows.columns).alias("row"))
+    rule = F.lit(by_isbn) if isinstance(by_isbn, bool) else by_isbn
+    blank = F.coalesce(F.col(isbn), F.lit("")) == ""
+    marked = rows.withColumn("_by_isbn", rule)
+    shared = (F.count(F.lit(1)).over(Window.partitionBy(*keys, record)) > 1) | (~blank & (F.count(F.lit(1)).over(Window.partitionBy(*keys, isbn)) > 1))
+    marked = marked.withColumn("_shared", shared)
+    packed = F.struct(F.col(order).alias("o"), F.struct(*marked.columns).alias("row"))
     empty = F.slice(F.array_sort(F.collect_list(packed)), 1, 0)
-    same = lambda k, x: (k["row"][record] == x["row"][record]) | ((F.coalesce(x["row"][isbn], F.lit("")) != "") & (k["row"][isbn] == x["row"][isbn]) if by_isbn else F.lit(False))
+    same = lambda k, x: k["row"][record].eqNullSafe(x["row"][record]) | (x["row"]["_by_isbn"] & (F.coalesce(x["row"][isbn], F.lit("")) != "") & F.coalesce(k["row"][isbn] == x["row"][isbn], F.lit(False)))
     keep = lambda kept, x: F.when(F.exists(kept, lambda k: same(k, x)), kept).otherwise(F.concat(kept, F.array(x)))
-    folded = rows.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(packed)), empty, keep).alias("_kept"))
-    return folded.select(F.explode("_kept").alias("_k")).select("_k.row.*")
+    folded = marked.filter("_shared").groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(packed)), empty, keep).alias("_kept"))
+    again = folded.select(F.explode("_kept").alias("_k")).select("_k.row.*")
+    return marked.filter("NOT _shared").unionByName(again).drop("_by_isbn", "_shared")
 
 
 def runner_up(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
@@ -79,6 +88,23 @@ def proximity(value: Column, expected: Column, lo_value: Column, hi_value: Colum
     return 1 - F.abs(value - expected) / (hi_value - lo_value + 1)
 
 
+def gap_pairs(rows: DataFrame, keys: list[str], day: str, item: str, most: int) -> DataFrame:
+    """(first, later, gap) of items with equal keys whose days lie 0 to ``most`` apart: a range join.
+
+    Days are cut into cells of ``most`` + 1, and a row meets its own cell and the next, so the range is an equal key too.
+    """
+    celled = rows.select(*keys, F.col(item).alias("later"), F.to_date(day).alias("_d")).withColumn("_cell", F.floor(F.unix_date("_d") / (most + 1)))
+    first = celled.withColumn("_cell", F.explode(F.array(F.col("_cell"), F.col("_cell") + 1))).withColumnsRenamed({"later": "first", "_d": "_from"})
+    return first.join(celled, [*keys, "_cell"]).withColumn("gap", F.datediff("_d", "_from")).filter(F.col("gap").between(0, most) & (F.col("first") != F.col("later"))).select("first", "later", "gap")
+
+
+def neighbours(points: DataFrame, keys: list[str], number: str, value: str) -> DataFrame:
+    """Adds lo and hi, the points (number, value) before and after each one in its group: what is left when it is hidden."""
+    order = Window.partitionBy(*keys).orderBy(number, value)
+    point = F.struct(F.col(number).alias("number"), F.col(value).alias("value"))
+    return points.withColumns({"lo": F.lag(point).over(order), "hi": F.lead(point).over(order)})
+
+
 def cumulative_share(rows: DataFrame, count: str, tie: str) -> DataFrame:
     """Adds ``share``: the running part of the total, largest counts first. For reports of few rows: one window holds all."""
     order = Window.orderBy(F.desc(count), tie).rowsBetween(Window.unboundedPreceding, 0)
