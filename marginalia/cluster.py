@@ -43,7 +43,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, else the context's own, else one for tests."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, else the context's own, else, on one machine, one for tests."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
@@ -51,8 +51,8 @@ def shared_folder(spark: SparkSession) -> str:
     own = context._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
-    if not context.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if not context.master.startswith("local"):  # a folder of one machine would lose tables on the others
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 

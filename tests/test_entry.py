@@ -5,12 +5,12 @@ import math
 import duckdb
 import pytest
 
-from marginalia.plans import catalog, corpus
+from marginalia.plans import catalog, corpus, reports
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ORACLES = catalog.ORACLE_SQL | corpus.ORACLE_SQL
-QUERIES = catalog.QUERIES | corpus.QUERIES
+ORACLES = catalog.ORACLE_SQL | corpus.ORACLE_SQL | reports.ORACLE_SQL
+QUERIES = catalog.QUERIES | corpus.QUERIES | reports.QUERIES
 
 
 @pytest.fixture(scope="module")
