@@ -28,15 +28,20 @@ THRESHOLD, MOST_GAP, LEAST_SIMILARITY, SUGGESTIONS = 0.88, 15, 0.75, 3
 BLOCK, TITLES = 512, 1024
 REVIEW_KEY = ["source_record_id", "suggested_book_id", "language_letter"]
 # The columns of the output tables.
-EDITION_COLUMNS = (
-    "translation_id book_id language_letter language original_title author translated_title pub_date pub_year publisher place translators series isbn source "
-    "source_record_id original_title_in_record match_score edition_type works_in_edition first_edition first_edition_year original_series"
-).split()
-UNMATCHED_COLUMNS = "author language_letter source source_record_id translated_title pub_year publisher original_title_in_record reason closest_series_title closest_score responsibility".split()
-CANDIDATE_COLUMNS = (
-    "confirm confidence candidate_score reason language_letter language author suggested_book_id suggested_original_title original_pub_date translated_title pub_date pub_year "
-    "years_after_original publisher place translators series isbn title_similarity romance_publisher candidates_for_this_record original_title_in_record responsibility source source_record_id"
-).split()
+EDITION_COLUMNS = [
+    "translation_id", "book_id", "language_letter", "language", "original_title", "author", "translated_title", "pub_date", "pub_year", "publisher", "place",
+    "translators", "series", "isbn", "source", "source_record_id", "original_title_in_record", "match_score", "edition_type", "works_in_edition", "first_edition",
+    "first_edition_year", "original_series",
+]
+UNMATCHED_COLUMNS = [
+    "author", "language_letter", "source", "source_record_id", "translated_title", "pub_year", "publisher", "original_title_in_record", "reason", "closest_series_title",
+    "closest_score", "responsibility",
+]
+CANDIDATE_COLUMNS = [
+    "confirm", "confidence", "candidate_score", "reason", "language_letter", "language", "author", "suggested_book_id", "suggested_original_title", "original_pub_date",
+    "translated_title", "pub_date", "pub_year", "years_after_original", "publisher", "place", "translators", "series", "isbn", "title_similarity", "romance_publisher",
+    "candidates_for_this_record", "original_title_in_record", "responsibility", "source", "source_record_id",
+]
 #: Language codes of records by letter.
 CODES = {"F": ["fre", "fra"], "G": ["ger", "deu"], "P": ["pol"]}
 
