@@ -250,7 +250,7 @@ def draw_quotas(rows: DataFrame, scratch: Scratch, *, shards: int = SHARDS, seed
     blocks = blocks.select("doc_id", "source", "content", "twin", "size", "p.pass", "p.wanted", F.explode("each").alias("block"))
     blocks = blocks.withColumn("words", _block_words(F.col("block"))).withColumn("digest", _name(seed, F.col("pass"), F.col("block")))
     total = rows.agg(F.sum(F.ceil(F.col("size") / BLOCK_WORDS)) * 2).first()[0] or 0
-    ranked = row_order(blocks.select("source", "pass", "wanted", "digest", "content", "words"), ["source", "pass"], ["digest", "content"], _bits(F.col("digest")), sums={"before": "words"}, total=int(total), per_task=8_000)
+    ranked = row_order(blocks.select("source", "pass", "wanted", "digest", "content", "words"), ["source", "pass"], ["digest", "content"], _bits(F.col("digest")), sums={"before": "words"}, total=int(total), per_task=4_000)
     needed = scratch.table(ranked.filter(F.col("before") < F.col("wanted")).select("source", "pass", "digest", "content", F.least("words", F.col("wanted") - F.col("before")).alias("words"), "rank"), "permuted")
     # the blocks that the target needs are the quota; which of them a shard draws, the tree decides
     quotas = scratch.table(needed.groupBy("source", "pass").agg(F.count(F.lit(1)).alias("quota")), "quotas")
