@@ -274,8 +274,10 @@ def without_near_duplicates(documents: DataFrame, *, id_column: str = "doc_id",
     classed = signed.filter("node IS NOT NULL").join(roots, "node", "left").select("id", "key", F.coalesce("component", "node").alias("root"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     rows = classed.groupBy("root", "id", "key").agg(F.count(F.lit(1)).alias("n"))
-    first = rows.groupBy("root").agg(F.min(order).alias("first"))
-    judged = rows.join(first, "root").select("id", "key", "n", order.eqNullSafe(F.col("first")).alias("stays"))
+    rows = scratch.table(rows, "rows")
+    # compared by id and hash, not by class: one class may hold a third of all rows
+    first = rows.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.id").alias("_i"), F.col("first.key").alias("_k"), F.lit(True).alias("stays"))
+    judged = rows.join(first, F.col("id").eqNullSafe(F.col("_i")) & (F.col("key") == F.col("_k")), "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
     judged = scratch.table(judged.filter("NOT stays OR n > 1").select(F.col("id").alias("_id"), F.col("key").alias("_key"), "stays"), "judged")
     counts = judged.groupBy().agg(F.count(F.lit(1)).alias("all"), F.count_if("stays").alias("repeated")).first()
     narrow = (lambda frame: F.broadcast(frame)) if counts["all"] <= BROADCAST_PAIRS else lambda frame: frame
