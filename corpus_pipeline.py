@@ -22,17 +22,20 @@ from marginalia.llm import langid
 from marginalia.llm.bpe import encode_documents
 from marginalia.llm.dedup import without_near_duplicates
 from marginalia.llm.mixing import mixed_documents
+from marginalia.llm.worker import short_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language cannot be determined: without a letter, or coded with more than eight bits a byte
     under every language, which is worse than without any statistics. The model is learned from the stage's own labelled
     rows; where there are none, only the letter counts."""
+    short_batches(spark)
     return langid.determined(docs, langid.fit(langid.learned(docs)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates: the one with the smallest id, null last."""
+    short_batches(spark)
     return without_near_duplicates(docs)
 
 
@@ -45,6 +48,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256 and token_ids of each row."""
     import public_tokenizers
 
+    short_batches(spark)
     return encode_documents(docs, path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], ids=True)
 
 

@@ -11,8 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-import threading
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +22,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
 from marginalia.cluster import ship, then_give_back
 from marginalia.llm.pieces import Ids, opening, runs
+from marginalia.llm.worker import kept
 
 
 @lru_cache(maxsize=1)
@@ -97,19 +97,6 @@ class ByteBpe:
         return list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)) if len(ends) else []
 
 
-_LOCK = threading.Lock()
-_LOADED: dict[str, ByteBpe] = {}
-
-
-def loaded(key: str, text: Callable[[], str]) -> ByteBpe:
-    """The encoder of this Python worker; one at a time is kept."""
-    with _LOCK:
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = ByteBpe(text())
-        return _LOADED[key]
-
-
 def encode_documents(documents: DataFrame, *, path: str, pattern: str, text_column: str = "text", keep: list[str] | None = None, ids: bool = True, spans: bool = False) -> DataFrame:
     """The columns ``keep`` (default: all but the text), then n_tokens, ids_sha256, decoded_sha256, and on request
     ``token_ids`` (array<int>) and ``token_spans`` (array of byte offsets, one more than tokens).
@@ -129,10 +116,10 @@ def encode_documents(documents: DataFrame, *, path: str, pattern: str, text_colu
         schema = schema.add(name, kinds[name])
 
     held = documents.sparkSession.sparkContext.broadcast(library_text(path, pattern))  # as large as the vocabulary
-    key = f"{path} {pattern}"
+    key = f"bpe {path} {pattern}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = loaded(key, lambda: held.value)
+        coder = kept(key, lambda: ByteBpe(held.value))
         for batch in batches:
             for start, texts in runs(batch.column(len(keep))):
                 found = coder.encode(texts)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from marginalia.cluster import Scratch, ship, small_batches, then_give_back
 from marginalia.llm.shingles import shingle_rows
+from marginalia.llm.worker import forget
 
 #: b-bit positions in a signature, and the chunks among the first of them.
 POSITIONS, CHUNKS, WIDTH, ERRORS = 128, 8, 5, 1
@@ -56,6 +57,7 @@ def _node(own: np.ndarray) -> int:
 
 def _signer(words: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sizes, nodes, signatures = [], [], []
             for shingles, offsets in shingle_rows(_texts(batch), words):

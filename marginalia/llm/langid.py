@@ -15,7 +15,6 @@ A-Z count as a-z. The language with the shortest code wins.
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.cluster import ship, then_give_back
+from marginalia.llm.worker import kept
 
 #: Bytes before the one that is predicted.
 ORDER = 3
@@ -99,18 +99,6 @@ class Model:
         return [Tree(*self.counts[language]) for language in self.languages]
 
 
-_LOCK = threading.Lock()
-_LAID_OUT: dict[str, list[Tree]] = {}
-
-
-def _trees(key: str, model: Model) -> list[Tree]:
-    with _LOCK:
-        if key not in _LAID_OUT:
-            _LAID_OUT.clear()
-            _LAID_OUT[key] = model.trees()
-        return _LAID_OUT[key]
-
-
 def fit(labelled: DataFrame, *, text_column: str = "text", label_column: str = "lang", key_column: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Learn from at most ``rows_per_language`` rows of each non-null language, chosen by a hash of key and text.
 
@@ -229,7 +217,7 @@ def identify(documents: DataFrame, model: Model, *, text_column: str = "text", k
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
-        trees = _trees(key, known)
+        trees = kept(key, known.trees)
         for batch in batches:
             for start, texts, rows, bits, _ in _judged(batch, len(keep), trees):
                 langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
@@ -254,7 +242,7 @@ def determined(documents: DataFrame, model: Model, *, text_column: str = "text",
     column = documents.columns.index(text_column)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = _trees(key, held.value)
+        trees = kept(key, lambda: held.value.trees())
         for batch in batches:
             for start, texts, rows, bits, sizes in _judged(batch, column, trees):
                 good = np.zeros(len(texts), bool)
@@ -268,7 +256,7 @@ def _spread(documents: DataFrame, model: Model):
     """The model as a broadcast (it is no larger than the bounded sample), and a key for its trees in a worker."""
     context = documents.sparkSession.sparkContext
     held = context.broadcast(model)
-    return held, f"{context.applicationId}-{getattr(held, '_jbroadcast').id()}"
+    return held, f"ppm-{context.applicationId}-{getattr(held, '_jbroadcast').id()}"
 
 
 def held_out(key: Column) -> Column:

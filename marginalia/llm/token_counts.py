@@ -15,20 +15,16 @@ from pyspark.sql import functions as F
 
 from marginalia.cluster import ship, then_give_back
 from marginalia.llm.pieces import Lengths, opening, runs
+from marginalia.llm.worker import kept
 
-_LOADED: dict[str, Lengths] = {}
+def _counter(path: str) -> Lengths:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-
-def _loaded(path: str) -> Lengths:
-    if path not in _LOADED:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(path)
-        library.no_truncation()
-        library.no_padding()
-        _LOADED[path] = Lengths(library, opening(library))
-    return _LOADED[path]
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return Lengths(library, opening(library))
 
 
 def token_counts(documents: DataFrame, *, path: str, id_column: str = "doc_id", text_column: str = "text", limit: int = 1024) -> DataFrame:
@@ -43,7 +39,7 @@ def token_counts(documents: DataFrame, *, path: str, id_column: str = "doc_id",
     chosen = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _loaded(path)
+        memory = kept(f"lengths {path}", lambda: _counter(path))
         for batch in batches:
             for start, texts in runs(batch.column(1)):
                 counts = [sum(parts) for parts in memory.of(texts)]
