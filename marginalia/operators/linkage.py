@@ -370,18 +370,18 @@ def merged_table(books: DataFrame, editions: DataFrame, *, prefix: str = "tr_")
     return books.join(right, "book_id", "left")
 
 
-def resolve_titles(wanted: DataFrame, hits: DataFrame, *, houses: list[str], least: float = 0.85) -> DataFrame:
+def resolve_titles(wanted: DataFrame, hits: DataFrame, *, houses: list[str], least: float = 0.85, any_publisher: bool = False) -> DataFrame:
     """The first search hit in rank order for each wanted title, and what became of it.
 
     ``wanted`` has (key, author, title); ``hits`` (key, docs: array of struct title, authors, publishers, work_id). A hit
     needs a compatible title and an author that is equal when folded or at least ``least`` similar. Its publisher decides
-    between "found" and "other publisher"; of equal works the first stays.
+    between "found" and "other publisher", unless ``any_publisher`` will do; of equal works the first stays.
     """
     docs = wanted.join(hits, "key").select("key", "author", "title", F.posexplode("docs").alias("rank", "doc"))
     fits = docs.filter(S.compatible(T.title_key(F.col("doc.title")), T.title_key(F.col("title"))))
     names = fits.select("key", "rank", "author", "doc", F.explode("doc.authors").alias("name")).withColumn("a", T.fold(F.col("author"))).withColumn("b", T.fold(F.col("name")))
     agreed = names.filter((F.col("a") == F.col("b")) | (S.sequence_ratio("b", "a") >= least))
     first = agreed.groupBy("key").agg(F.min_by("doc", "rank").alias("doc"))
-    out = wanted.join(first, "key", "left").withColumn("outcome", F.when(F.col("doc").isNull(), "not found").when(S.listed_publisher(F.col("doc.publishers"), houses), "found").otherwise("other publisher"))
+    out = wanted.join(first, "key", "left").withColumn("outcome", F.when(F.col("doc").isNull(), "not found").when(F.lit(any_publisher) | S.listed_publisher(F.col("doc.publishers"), houses), "found").otherwise("other publisher"))
     found = out.filter("outcome = 'found'").withColumn("_w", F.col("doc.work_id"))
     return first_per_key(found, ["_w"], ["key"]).drop("_w").unionByName(out.filter("outcome <> 'found'"))

@@ -169,3 +169,16 @@ def harvested_works(editions: DataFrame) -> DataFrame:
     works = marc.works_of_record(editions).withColumn("original_title", F.btrim(T.without_year(F.col("original_title")), F.lit(" ,")))
     empty = F.lit("")
     return works.select("language_letter", F.col("record_author").alias("authors"), "original_title", "translated_title", "pub_date", "publisher", "place", "translators", "series", "isbn", empty.alias("format"), F.col("responsibility").alias("copyright"), "source", F.col("record_id").alias("source_record_id"), empty.alias("url"))
+
+
+def search_hits(wanted: DataFrame, pages: DataFrame, *, base: str, most: int = 10) -> DataFrame:
+    """(key, docs) for ``linkage.resolve_titles``: the first ``most`` hits of the landed answer to each wanted title.
+
+    ``wanted`` has (key, author, title). An answer is JSON with ``docs``; one that is missing or no JSON has no hits.
+    """
+    url = F.concat(F.lit(f"{base}?title="), F.url_encode("title"), F.lit("&author="), F.url_encode("author"), F.lit(f"&limit={most}"))
+    shape = "docs array<struct<key:string,title:string,author_name:array<string>,first_publish_year:int,publisher:array<string>>>"
+    empty = F.array().cast("array<string>")
+    found = wanted.withColumn("_at", url).join(_stored(pages), F.col("_at") == F.col("_url")).withColumn("_d", F.from_json("content", shape)["docs"])
+    doc = lambda d: F.struct(F.coalesce(d["title"], F.lit("")).alias("title"), F.coalesce(d["author_name"], empty).alias("authors"), F.filter(F.coalesce(d["publisher"], empty), lambda p: p != "").alias("publishers"), F.element_at(F.split(d["key"], "/"), -1).alias("work_id"), d["first_publish_year"].cast("string").alias("year"))
+    return found.filter("_d IS NOT NULL").select("key", F.transform(F.slice("_d", 1, most), doc).alias("docs"))

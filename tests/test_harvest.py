@@ -112,3 +112,17 @@ def test_translation_index(spark):
     books = spark.createDataFrame([("Quiet Harbor", "Jane Doe", "Mar 1990"), ("Other", "Max Roe", "1990")], "title string, authors string, pub_date string")
     rows = tables.translation_index(tables.works_exploded(works), books).collect()
     assert [(r["language_letter"], r["authors"], r["translated_title"], r["pub_date"], r["translators"], r["source_record_id"]) for r in rows] == [("G", "Jane Doe", "Der Hafen", "1995", "A. Meier", "unesco:u1:G1995:0")]
+
+
+def test_search_hits_feed_the_resolution(spark):
+    from marginalia.operators.linkage import resolve_titles
+
+    wanted = spark.createDataFrame([("k1", "Jane Doe", "Quiet Harbor"), ("k2", "Jane Doe", "Storm"), ("k3", "Jane Doe", "Lost"), ("k4", "Jane Doe", "The Quiet Harbor")], "key string, author string, title string")
+    base = "http://search"
+    ask = lambda title: f"{base}?" + urlencode({"title": title, "author": "Jane Doe", "limit": 10})
+    hit = '{"docs": [{"key": "/works/W0", "title": "Other"}, {"key": "/works/W1", "title": "Quiet Harbour", "author_name": ["Doe Jane", "Jane Doe"], "publisher": ["", "Mills & Boon"], "first_publish_year": 1990}]}'
+    pages = landed(spark, (ask("Quiet Harbor"), hit), (ask("The Quiet Harbor"), hit), (ask("Storm"), '{"docs": [{"key": "/works/W2", "title": "Storm", "author_name": ["Jane Doe"], "publisher": ["Else"]}]}'), (ask("Lost"), "blocked"))
+    hits = H.search_hits(wanted, pages, base=base)
+    rows = resolve_titles(wanted, hits, houses=["mills"]).collect()
+    assert {r["key"]: (r["outcome"], r["doc"] and r["doc"]["work_id"]) for r in rows} == {"k1": ("found", "W1"), "k2": ("other publisher", "W2"), "k3": ("not found", None)}
+    assert {r["key"] for r in resolve_titles(wanted, hits, houses=["mills"], any_publisher=True).filter("outcome = 'found'").collect()} == {"k1", "k2"}
