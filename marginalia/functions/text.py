@@ -96,8 +96,9 @@ def to_ascii(s: Column) -> Column:
     out = text
     for char, plain in longer.items():
         out = F.replace(out, F.lit(char), F.lit(plain))
-    # each step only where the text needs it: plain ASCII has as many bytes as characters
-    whole = F.when(text.rlike(f"[{''.join(longer)}]"), out).otherwise(text)
+    # each step only where the text needs it: plain ASCII has as many bytes as characters, and one comparison passes an
+    # ASCII character in the pattern, which would else be held against each of the longer ones
+    whole = F.when(text.rlike(f"[[^\\x00-\\x7F]&&[{''.join(longer)}]]"), out).otherwise(text)
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(F.translate(whole, source, target), r"[^\x00-\x7F]+", ""))
 
 
@@ -118,7 +119,7 @@ def title_key(s: Column) -> Column:
     In this order: marks stripped; text before the first spaced ``/``, ``//``, ``;`` or ``=``; ASCII, lower case; round
     and square brackets dropped; apostrophes deleted; other signs to spaces; a trailing year; "(a) novel"; one article.
     """
-    t = F.split_part(F.regexp_replace(strip_marks(s, compose=False), r"(?U)\s+/{1,2}\s+|\s+;\s+|\s+=\s+", "\u0000"), F.lit("\u0000"), F.lit(1))
+    t = F.split_part(F.regexp_replace(strip_marks(s, compose=False), r"(?U)\s+(?:/{1,2}|[;=])\s+", "\u0000"), F.lit("\u0000"), F.lit(1))
     t = F.regexp_replace(F.lower(to_ascii(t)), r"\(.*?\)|\[.*?\]", " ")
     t = F.regexp_replace(F.regexp_replace(t, "[`']", ""), "[^a-z0-9 ]+", " ")
     t = squeeze(t)
