@@ -63,11 +63,23 @@ def compatible(a: Column, b: Column, words_a: Column | None = None, words_b: Col
     return F.when(F.replace(a, F.lit(" "), F.lit("")) == F.replace(b, F.lit(" "), F.lit("")), True).otherwise(by_words)
 
 
+def title_form(words: Column, joined: Column) -> Column:
+    """What ``forms_may_agree`` compares: a key without its spaces, its content words joined, and their first letters as
+    bits (letters whose codes differ by a multiple of 64 share one)."""
+    bits = F.aggregate(words, F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(w) % 64)))
+    return F.struct(joined.alias("joined"), F.array_join(words, "").alias("content"), bits.alias("initials"))
+
+
+def forms_may_agree(a: Column, b: Column) -> Column:
+    """A cheap test of two ``title_form`` that every compatible pair passes: the first letters of one title's words are
+    among the other's, or all letters agree."""
+    bits = a["initials"].bitwiseAND(F.bitwise_not(b["initials"])) == 0
+    return bits | (a["joined"] == b["joined"]) | (a["content"] == b["content"])
+
+
 def may_be_compatible(words_a: Column, words_b: Column, joined_a: Column, joined_b: Column) -> Column:
-    """A cheap test that every compatible pair passes: the first letters of one title's words are among the other's, or
-    all letters agree. ``joined`` is a key without its spaces, or its content words joined."""
-    initials = lambda words: F.transform(words, lambda w: F.substring(w, 1, 1))
-    return (joined_a == joined_b) | (F.array_join(words_a, "") == F.array_join(words_b, "")) | (F.size(F.array_except(initials(words_a), initials(words_b))) == 0)
+    """``forms_may_agree`` of two keys, given as content words and without spaces; for many pairs, compute forms once."""
+    return forms_may_agree(title_form(words_a, joined_a), title_form(words_b, joined_b))
 
 
 def contained(a: Column, b: Column) -> Column:

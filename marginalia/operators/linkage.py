@@ -336,9 +336,9 @@ def suggestions(unmatched: DataFrame, index: DataFrame, *, most_gap: int = MOST_
     years = open_.select("record", "author", "pub_year", "original_titles")
     # distinct keys of an author's titles and of its books: compatible ones, by cheap tests first
     asked = years.filter(titled).select("record", "author", "pub_year", F.explode(F.array_distinct("original_titles")).alias("t")).withColumn("_a", T.title_key(F.col("t")))
-    left = asked.select("author", "_a").distinct().withColumns({"_wa": S.content_words(F.col("_a")), "_ja": F.replace("_a", F.lit(" "), F.lit(""))})
-    right = own.select("author", "_b").distinct().withColumns({"_wb": S.content_words(F.col("_b")), "_jb": F.replace("_b", F.lit(" "), F.lit(""))})
-    fits = left.join(right, "author").filter(S.may_be_compatible(F.col("_wa"), F.col("_wb"), F.col("_ja"), F.col("_jb"))).filter(S.compatible(F.col("_a"), F.col("_b"), F.col("_wa"), F.col("_wb"))).select("author", "_a", "_b")
+    left = asked.select("author", "_a").distinct().withColumn("_wa", S.content_words(F.col("_a"))).withColumn("_fa", S.title_form(F.col("_wa"), F.replace("_a", F.lit(" "), F.lit(""))))
+    right = own.select("author", "_b").distinct().withColumn("_wb", S.content_words(F.col("_b"))).withColumn("_fb", S.title_form(F.col("_wb"), F.replace("_b", F.lit(" "), F.lit(""))))
+    fits = left.join(right, "author").filter(S.forms_may_agree(F.col("_fa"), F.col("_fb"))).filter(S.compatible(F.col("_a"), F.col("_b"), F.col("_wa"), F.col("_wb"))).select("author", "_a", "_b")
     pairs = asked.join(fits, ["author", "_a"]).join(own.select("author", "_b", "suggested_book_id", "original_pub_date"), ["author", "_b"]).filter(in_time).select("record", "author", "suggested_book_id", "_b").distinct()
     compared = pairs.join(asked.select("record", "_a").distinct(), "record").select("record", "suggested_book_id", "_a", "_b")
     ratios = compared.select("_a", "_b").distinct().withColumn("s", S.sequence_ratio("_a", "_b"))
