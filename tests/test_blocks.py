@@ -2,6 +2,7 @@
 
 import itertools
 
+import duckdb
 from marginalia.functions import similarity as S
 from marginalia.functions import text as T
 from marginalia.plans import corpus
@@ -37,3 +38,13 @@ def test_variants_that_differ_at_the_second_letter(spark):
     want = [(a, b) for a, b in itertools.combinations(words, 2) if a[0] == b[0] and _variant(a, b)]
     got = pairs_of("variant_pairs", spark)
     assert got == sorted(want) and {("anble", "atble"), ("eaieau", "eeaieau")} <= set(got)
+
+
+def test_missing_titles_have_no_pairs(spark, tmp_path):
+    names = [None, None, "", "The", "x (y)", "x", "(y)", "honor rose", "honour rose"]
+    rows = [(k, "B", 1, name) for k, name in enumerate(names)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted((r["a"], r["b"]) for r in corpus.QUERIES["compatible_titles"](spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert got == sorted(duck.execute(corpus.ORACLE_SQL["compatible_titles"]).fetchall()) == [(2, 6), (4, 5), (7, 8)]
