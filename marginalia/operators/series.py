@@ -7,7 +7,7 @@ that works is measured by hiding each anchor in turn, and only collections that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import similarity as S
@@ -66,9 +66,11 @@ def windows(records: DataFrame, points: DataFrame, *, most_span: int = MOST_SPAN
     both = marks.unionByName(asked.withColumns({"number": F.lit(None).cast("int"), "p": F.lit(None).cast(marks.schema["p"].dataType)}), allowMissingColumns=True).withColumn("asks", F.col("p").isNull())
     group = Window.partitionBy("coll", "line")
     ahead = group.orderBy("num", F.col("asks").desc(), "number")  # records stand before the anchors of their number
-    behind = group.orderBy("num", "asks", "number")  # and here after them
-    lo = F.last("p", ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, -1))
-    hi = F.first("p", ignorenulls=True).over((behind if hide_own else ahead).rowsBetween(1, Window.unboundedFollowing))
+    # the same order read from its end (or with records after the anchors of their number): a frame that ends with the
+    # group would be read again for each row
+    back = group.orderBy(F.col("num").desc(), F.col("asks").desc() if hide_own else F.col("asks"), F.col("number").desc())
+    before = lambda order: F.last("p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    lo, hi = before(ahead), before(back)
     found = both.withColumns({"lo": lo, "hi": hi}).filter("asks").drop("p", "asks", "number")
     if hide_own:
         others = asked.join(points.withColumnRenamed("source_record_id", "owner"), ["coll", "line", "num"]).filter("owner <> source_record_id")
@@ -78,14 +80,29 @@ def windows(records: DataFrame, points: DataFrame, *, most_span: int = MOST_SPAN
     return found.filter((F.col("hi.number") >= F.col("lo.number")) & (F.col("span") <= most_span)).select("source_record_id", "author_key", "coll", "line", "num", "lo", "hi", "span")
 
 
+def _cell(number: Column, level: Column) -> Column:
+    """The range of 2 ** level numbers that a number lies in."""
+    return F.call_function("shiftright", number.cast("long"), level)
+
+
 def candidates(around: DataFrame, owned: DataFrame) -> DataFrame:
     """(source_record_id, coll, line, book_id, number, predicted, lo, hi, span, score, candidates): the author's books of the
-    line between the anchors' numbers. A range join with the author and the line as its equal keys."""
-    pairs = around.join(owned, ["author_key", "line"]).filter(F.col("number").between(F.col("lo.number"), F.col("hi.number")))
+    line between the anchors' numbers.
+
+    A range join: a window meets the two cells of the smallest power of two that is not below its length, a book stands in
+    one cell of each length that occurs. So at most four times the books of a window are looked at."""
+    length = F.col("hi.number").cast("long") - F.col("lo.number").cast("long")
+    levelled = around.filter("hi.number >= lo.number").withColumn("_level", F.when(length == 0, 0).otherwise(F.length(F.bin(length))).cast("int"))
+    cells = levelled.withColumn("_cell", F.explode(F.array_distinct(F.array(_cell(F.col("lo.number"), F.col("_level")), _cell(F.col("hi.number"), F.col("_level"))))))
+    placed = owned.join(F.broadcast(levelled.select("_level").distinct()), how="cross")  # 64 lengths at most
+    placed = placed.withColumn("_cell", _cell(F.col("number"), F.col("_level")))
+    pairs = cells.join(placed, ["author_key", "line", "_level", "_cell"]).filter(F.col("number").between(F.col("lo.number"), F.col("hi.number")))
     expected = F.col("lo.number") + (F.col("num") - F.col("lo.num")) * (F.col("hi.number") - F.col("lo.number")) / F.greatest(F.col("span"), F.lit(1))
     scored = pairs.withColumn("predicted", expected).withColumn("score", proximity(F.col("number"), F.col("predicted"), F.col("lo.number"), F.col("hi.number")))
-    ids = scored.groupBy(F.col("source_record_id").alias("_id")).agg(F.count_distinct("book_id").alias("candidates"))
-    return scored.join(ids, F.col("source_record_id") == F.col("_id")).select("source_record_id", "coll", "line", "book_id", "number", "predicted", F.col("lo.number").alias("lo"), F.col("hi.number").alias("hi"), "span", "score", "candidates")
+    record = Window.partitionBy("source_record_id")
+    place = F.dense_rank().over(record.orderBy(F.col("book_id").asc_nulls_last()))
+    counted = scored.withColumn("_n", F.when(F.col("book_id").isNotNull(), place)).withColumn("candidates", F.coalesce(F.max("_n").over(record), F.lit(0)).cast("long"))
+    return counted.select("source_record_id", "coll", "line", "book_id", "number", "predicted", F.col("lo.number").alias("lo"), F.col("hi.number").alias("hi"), "span", "score", "candidates")
 
 
 def _best() -> list:

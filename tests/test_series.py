@@ -61,3 +61,25 @@ def test_review_and_gate(spark):
     assert best == {f"r{i}": (f"b{i}", "n" if i == 30 else "y", "unique", i, f"{i - 1}-{i + 1}") for i in (10, 20, 30, 40, 50)}
     extras = P.confirmed_extras(review, rows, table).collect()
     assert {r["source_record_id"] for r in extras} == {"r10", "r20", "r40", "r50"} and extras[0]["source"] == "x (series-anchored)"
+
+
+def test_candidates_of_short_and_long_windows_without_comparing_all(spark, capsys):
+    rnd = random.Random(4)
+    around = [(f"r{i}", rnd.choice("xy"), "c", "L", 5, (1, lo := rnd.randrange(-50, 3000)), (9, lo + rnd.choice([0, 1, 2, 7, 64, 900])), 8) for i in range(150)]
+    owned = [(rnd.choice("xy"), "L", rnd.randrange(-60, 4000), f"b{i // 2}") for i in range(1200)]
+    windows = spark.createDataFrame(around, "source_record_id string, author_key string, coll string, line string, num int, lo struct<num:int,number:int>, hi struct<num:int,number:int>, span int")
+    found = P.candidates(windows, spark.createDataFrame(owned, "author_key string, line string, number int, book_id string"))
+    got = sorted((r["source_record_id"], r["book_id"], r["number"], r["candidates"]) for r in found.collect())
+    inside = [(r, b, n) for r, a, _, _, _, lo, hi, _ in around for k, _, n, b in owned if k == a and lo[1] <= n <= hi[1]]
+    books = {r: len({b for q, b, _ in inside if q == r}) for r, _, _ in inside}
+    assert got == sorted((r, b, n, books[r]) for r, b, n in inside) and len(got) > 1000
+    found.explain()
+    assert "_cell" in capsys.readouterr().out.split("Join ")[1].split("]")[0]  # the range is one of the join's keys
+
+
+def test_no_window_reads_the_rest_of_its_group_for_each_row(spark, capsys):
+    points = spark.createDataFrame([("a", "L", 1, 1, "r1")], "coll string, line string, num int, number int, source_record_id string")
+    asked = spark.createDataFrame([("r2", "k", "a", 2)], "source_record_id string, author_key string, coll string, num int")
+    for hide in (False, True):
+        P.windows(asked, points, hide_own=hide).explain()
+        assert "unboundedfollowing" not in capsys.readouterr().out
