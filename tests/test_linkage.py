@@ -168,3 +168,25 @@ def test_resolving_compares_the_hit_with_the_wanted(spark):
     wanted = spark.createDataFrame([("k1", a, "Quiet Harbor"), ("k2", b, "Quiet Harbor")], "key string, author string, title string")
     hits = spark.createDataFrame([("k1", docs), ("k2", [("Quiet Harbor", [a], ["Mills"], "w2")])], "key string, docs array<struct<title:string,authors:array<string>,publishers:array<string>,work_id:string>>")
     assert {r["key"]: r["outcome"] for r in L.resolve_titles(wanted, hits, houses=["mills"]).collect()} == {"k1": "found", "k2": "not found"}
+
+
+def test_links_without_guesses_are_those_with_them(spark):
+    ship(spark)
+    rnd = random.Random(12)
+    own = list(dict.fromkeys([*titles(rnd, 60), "honor bride", "storm harbor night secret", "texas"]))
+    index = [(f"a{i % 2}", k, f"b{i}", k, "1990", i, 0) for i, k in enumerate(own)]
+    asked = [(r, f"a{r % 2}", t, 0) for r, t in enumerate([*titles(rnd, 60), *(k.replace("harbor", "harbour").replace("bride", "brides") for k in own)])]
+    frame = spark.createDataFrame(index, "author string, key string, book_id string, title string, pub_date string, position int, slot int")
+    wanted = spark.createDataFrame(asked, "record int, author string, title string, place int")
+    linked = lambda guesses: {r["record"]: (r["book_id"], r["score"], r["guess"]) for r in L.best_titles(wanted, frame, guesses=guesses).filter("book_id IS NOT NULL").collect()}
+    assert linked(False) == linked(True) and any(v[1] < 1 for v in linked(True).values())
+
+
+def test_untitled_records_count_all_books_but_meet_few(spark):
+    ship(spark)
+    index = [("a", f"k {i}", f"b{i}", f"K {i}", str(1980 + i % 4), i, 0) for i in range(40)]
+    frame = spark.createDataFrame(index, "author string, key string, book_id string, title string, pub_date string, position int, slot int")
+    rows = spark.createDataFrame([(1, "a", "1982", [], "Cora", "")], "record int, author string, pub_year string, original_titles array<string>, publisher string, series string")
+    got = L.suggestions(rows, frame)
+    assert [(r["suggested_book_id"], r["candidates_for_this_record"]) for r in got.orderBy(F.desc("candidate_score"), "suggested_book_id").collect()] == [("b10", 30), ("b2", 30), ("b6", 30)]
+    assert "_of_year" in got._jdf.queryExecution().toString()  # the books of a year are counted, not joined to each record
