@@ -80,3 +80,18 @@ def test_tables(spark, tmp_path):
     pages = spark.createDataFrame([("http://a",)], "url string").select(tables.cached_page_key(F.col("url")).alias("page_key"), F.lit("text").alias("content"))
     wanted = spark.createDataFrame([("http://a",), ("http://b",)], "url string")
     assert sorted(r["content"] for r in tables.landed(wanted, pages).collect()) == ["", "text"]
+
+
+def test_translation_index_counts_are_those_of_its_rows(spark):
+    works = spark.createDataFrame([("u1", "<The> Bride", 1990), ("u1", "<The> Bride", 1990), ("u2", "Bride", 1995), ("u3", None, 1990)], "uuid string, original_title string, year int")
+    works = works.withColumns({"translated_title_language": F.lit("German"), "publisher_name": F.lit("Cora"), **{c: F.lit("x") for c in ("translated_title", "place", "translator_name")}})
+    books = spark.createDataFrame([("The Bride", "A", "1990")] * 3 + [("The Bride", "A", "1988"), ("Bride", None, "1989"), (None, "B", "1990"), ("The Bride", "A", "1970")], "title string, authors string, pub_date string")
+    rows = tables.translation_index(works, books).groupBy(F.split_part("source_record_id", F.lit(":"), F.lit(2)).alias("uuid"), "authors", "original_title", "pub_date").agg(F.count(F.lit(1)).alias("n"))
+    counted = tables.translation_index_counts(works, books)
+    assert sorted(map(repr, counted.select(*rows.columns).collect())) == sorted(map(repr, rows.collect())) and counted.agg(F.max("n")).first()[0] == 8
+
+
+def test_a_record_is_parsed_once_for_all_of_its_readers(spark):
+    pages = spark.createDataFrame([(XML,)], "xml string")
+    plan = marc.editions_of_marc21(marc.records_of_xml(pages), "DNB")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("xmltostructs(") + plan.lower().count("from_xml(") <= 1
