@@ -97,3 +97,15 @@ def test_names_and_prices(spark):
     common = F.array(F.lit("the"), F.lit("then"))
     assert sorted(one(lambda t: T.english_names(t, common), "Then Anna met Dr. O'Neil in Rome. The End!")) == ["anna", "end", "rome"]
     assert sorted(one(lambda t: T.german_tokens(t, F.array(F.lit("Der"))), "Der Arzt Karl liebt Änne.")) == ["anne", "arzt", "karl"]
+
+
+def test_a_read_page_leaves_no_circles():
+    import gc
+
+    gc.collect()
+    gc.disable()
+    try:
+        assert html.lines_of("<div><p>one</p><p>two <b>three</b></p></div>" * 50)[:2] == ["one", "two three"]
+        assert gc.collect() == 0  # nothing that only the collector can free
+    finally:
+        gc.enable()
